@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,28 @@ from pyspark.sql import functions as F
 from .common import tokenizer_file
 from .sstable import Reader, Writer
 from .storage import open_input, persisted, scratch, write_file
+from .wordscan import slices
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_MOST_KEPT = 300_000
+#: Texts of these characters alone, with no two of the marks side by side, are cut by plain splitting.
+_PLAIN = re.compile(f"[{_LETTERS}0-9][{_LETTERS}0-9 \\n.,]*")
+_MARKS_MEET = [a + b for a in " \n.," for b in " \n.," if a + b not in (". ", ", ", ".\n", ",\n")]
+_AS_IS = "\x01"
+_ENDS, _BLANKS = (".", ",", "\n"), ("", " ", "\n")
+_MOST_KEPT = 700_000
 
 
 class Encoder:
     """A byte-level BPE of the tokenizers library, with the ids of recurring units kept.
 
     The byte-level pre-tokenizer always begins a new token where white space follows another
-    character, and looks at nothing before it; so the ids of a text are those of its units (a run
-    of blanks and line ends, with the other characters up to the next one), each encoded by the
-    library.  Texts with other white space or with an added token's string are encoded whole.
+    character and where a full stop or comma follows a letter or digit, and looks at nothing before
+    it; so the ids of a text are those of its units, each encoded by the library.  A unit is a run
+    of blanks and line ends with the other characters up to the next one; in texts of letters,
+    digits, single blanks, line ends, full stops and commas it also ends before the latter two.
+    Texts with other white space or with an added token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -47,30 +58,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, k in vocabulary.items():  # in a byte-level vocabulary each character stands for a byte
+            self.lengths[k] = len(token)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.units_stand_alone = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text, as little-endian unsigned 32-bit integers."""
-        if not self.units_stand_alone or _OTHER_SPACE.search(text) or (self.added and self.added.search(text)):
-            return self._encode([text])[0]
-        units = _UNIT.findall(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, units))
-        except KeyError:
-            new = [u for u in set(units) if u not in self.kept]
-            if len(self.kept) + len(new) > _MOST_KEPT:
-                self.kept.clear()
-                new = list(set(units))
-            self.kept.update(zip(new, self._encode(new), strict=True))
-            return b"".join(map(self.kept.__getitem__, units))
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keys(self, text: str) -> list[str] | None:
+        """The text's units as keys of what is kept; a key without a mark in front stands for a blank and itself."""
+        if not self.units_stand_alone:
+            return None
+        if _PLAIN.fullmatch(text) and not any(map(text.__contains__, _MARKS_MEET)):
+            keys = text.replace(".", " .").replace(",", " ,").replace("\n", " \n").split(" ")
+            keys[0] = _AS_IS + keys[0]
+            return keys
+        if _OTHER_SPACE.search(text) or (self.added and self.added.search(text)):
+            return None
+        return [u[1:] if u[0] == " " and u[1:2] > "." else _AS_IS + u for u in _UNIT.findall(text)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text, as little-endian unsigned 32-bit integers."""
+        keys = [self._keys(t) for t in texts]
+        whole = iter(self._encode([t for t, k in zip(texts, keys, strict=True) if k is None]))
+        if len(self.kept) > _MOST_KEPT:
+            self.kept.clear()
+        of = self.kept.__getitem__
+        found = [[next(whole)] if k is None else list(map(of, k)) for k in keys]
+        self.kept.fill(self)
+        return [b"".join(f) for f in found]
+
+    def encode_units(self, keys: list[str]) -> list[bytes]:
+        """Ids of units.  Those of one blank or line end and other characters make one text, cut again by the lengths of its tokens."""
+        units = [k[1:] if k[:1] == _AS_IS else k if k[:1] in _ENDS else f" {k}" for k in keys]
+        joined = [u[0] in " \n" and u[1:2] not in _BLANKS for u in units]
+        words = list(compress(units, joined))
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        bounds = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))) + 1
+        data, bounds = ids.tobytes(), (4 * bounds).tolist()
+        cut = iter([data[a:b] for a, b in zip([0, *bounds], bounds, strict=False)])
+        other = iter(self._encode([u for u, j in zip(units, joined, strict=True) if not j]))
+        return [next(cut if j else other) for j in joined]
+
+
+class _Kept(dict):
+    """Ids by unit.  A missing unit gets a buffer, which fill() fills; users of the buffer see it filled."""
+
+    def __init__(self):
+        self.missed: dict[str, bytearray] = {}
+
+    def __missing__(self, key: str) -> bytearray:
+        out = self[key] = self.missed[key] = bytearray()
+        return out
+
+    def fill(self, encoder: Encoder) -> None:
+        units = list(self.missed)
+        for unit, ids in zip(units, encoder.encode_units(units) if units else [], strict=True):
+            self.missed[unit] += ids
+            self[unit] = ids
+        self.missed = {}
 
 
 @lru_cache(maxsize=2)
@@ -109,8 +162,9 @@ def write_token_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
             for batch in every():
                 part = batch.column(3)[0].as_py() if batch.num_rows and part is None else part
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    w.add(k, e.encode(t.as_py()) + end)
+                for piece in slices(batch, "t", 2 << 20):
+                    for k, ids in zip(piece.column(0).to_pylist(), e.encode(piece.column(1).to_pylist()), strict=True):
+                        w.add(k, ids + end)
             w.close()
             done.update(entries=w.entries, ids=w.ids)
 
