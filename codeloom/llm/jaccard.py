@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .blocks import CENSUS, NO_ID, Blocks, answers_in_order, census, part_rows, read_block
+from .common import fresh
 from .components import components
 from .storage import persisted
 from .wordscan import NOT_BLANK, scan, slices, window_hashes
@@ -220,15 +221,8 @@ def _verified(candidates: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return both.filter(100 * F.col("common") >= percent * (F.size("items_a") + F.size("items_b") - F.col("common"))).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (least id that links reach, its own included).
-
-    Two documents link when 100 |A and B| >= percent |A or B| for their sets of shingles of
-    ``width`` words (longest runs without blanks, A-Z lower-cased).  A text of fewer words has one
-    shingle of all of them.  A text without words (null, empty, blank) has no shingle and links with
-    nothing, not even its copies.  Repeated rows, also of one id, are rows like others, each with
-    the group of its own text; a null id is smaller than any other.  An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """A row for each document (NO_ID for a null id): doc_id, key (of its text), size, group (equal for linked texts), least (id in the group)."""
     blocks = Blocks(docs, id_col, text_col)
     texts = _posted(blocks, width, percent)
     shared = texts.filter("digest is not null")
@@ -248,9 +242,36 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     joined = components(links.union(more))
     members = nodes.join(joined, nodes["node"] == joined["v"], "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     least = members.groupBy("component").agg(F.min("first").alias("least"))
-    by_digest = members.join(least, "component").select("digest", "least")
-    by_text = texts.select("key", "doc_id", "size", "digest").join(by_digest, "digest", "left").select("key", "size", F.coalesce("least", "doc_id").alias("least"))
-    every = blocks.manifest.select("doc_id", "key").join(by_text, "key")
+    by_digest = members.join(least, "component").select("digest", "component", "least")
+    by_text = texts.select("key", "doc_id", "size", "digest").join(by_digest, "digest", "left")
+    by_text = by_text.select("key", "size", F.coalesce(F.col("component").cast("string"), F.hex("key")).alias("group"), F.coalesce("least", "doc_id").alias("least"))
+    return blocks.manifest.select("doc_id", "key").join(by_text, "key")
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (least id that links reach, its own included).
+
+    Two documents link when 100 |A and B| >= percent |A or B| for their sets of shingles of
+    ``width`` words (longest runs without blanks, A-Z lower-cased).  A text of fewer words has one
+    shingle of all of them.  A text without words (null, empty, blank) has no shingle and links with
+    nothing, not even its copies.  Repeated rows, also of one id, are rows like others, each with
+    the group of its own text; a null id is smaller than any other.  An empty table gives no rows.
+    """
+    every = _grouped(docs, id_col, text_col, width, percent)
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("least"))
     real = lambda c: F.when(c != F.lit(NO_ID), c)
     return every.select(real(F.col("doc_id")).alias("doc_id"), F.col("size").alias("n_shingles"), real(own).alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs' rows and columns, with one document of each group of similar_groups: that of the least id, then of the least MD5 of the text.
+
+    Texts without words belong to no group and stay.  Rows that agree in id and text are one document, of which one row stays.
+    """
+    ident, key = fresh("_id", docs.columns), fresh("_key", docs.columns)
+    every = _grouped(docs, id_col, text_col, width, percent)
+    first = every.filter("size > 0").groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.doc_id", "x.key").union(every.filter("size = 0").select("doc_id", "key")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn(ident, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(key, F.unhex(F.md5(text.cast("binary"))))
+    kept = rows.join(first.toDF(ident, key), [ident, key], "left_semi")
+    return kept.dropDuplicates([ident, key]).select(*(F.col(f"`{c}`") for c in docs.columns))
