@@ -21,10 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .storage import open_input, persisted, scratch, write_file
 from .wordscan import slices
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
 #: Stands for a null id between the stages.
 NO_ID = -(1 << 63)
@@ -36,6 +37,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         size = 0
 
@@ -95,7 +97,7 @@ class Blocks:
         self.control = persisted(per_block.join(skips, "block", "left"), "control")
         n = self.control.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()
         #: tasks of a pass over blocks, and parts that fingerprints are dealt to
-        self.tasks = max(1, min(n.n, 20_000))
+        self.tasks = max(1, min(n.n, 12), min(n.n // 4, 20_000))
         self.parts = max(1, n.b // PART_BYTES)
         self.spark = spark
 
@@ -103,6 +105,7 @@ class Blocks:
         """fn(block, skip) for each block."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 for r in batch.to_pylist():
                     yield from fn(r["block"], r["skip"])
@@ -115,6 +118,7 @@ class Blocks:
         own = answers.repartition(self.tasks, "block")
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            release()
             r = left.to_pylist()[0]
             return fn(r["block"], r["skip"], right)
 
@@ -162,6 +166,11 @@ def part_rows(block: str, keys: np.ndarray, bits: int, parts: int, **more: np.nd
     )
 
 
+def part_tasks(parts: int) -> int:
+    """Tasks that parts are dealt to: a few parts each, and not fewer tasks than a small cluster has cores."""
+    return max(1, min(parts, 12), parts // 4)
+
+
 CENSUS = "part int, block string, keys binary, counts binary"
 
 
@@ -169,13 +178,14 @@ def census(sent: DataFrame, parts: int) -> DataFrame:
     """From CENSUS rows (each block's distinct keys with their counts): part, block, counts of the same keys in all blocks."""
 
     def count(group: pa.Table) -> pa.Table:
+        release()
         keys = [unpack_sorted(x) for x in group["keys"].to_pylist()]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(at, weights=np.concatenate([unpack(x) for x in group["counts"].to_pylist()]), minlength=len(every)).astype(np.uint32)
         ends = np.cumsum([len(k) for k in keys])[:-1]
         return group.select(["part", "block"]).append_column("counts", pa.array([pack(totals[x]) for x in np.split(at, ends)], pa.binary()))
 
-    return sent.repartition(parts, "part").groupBy("part").applyInArrow(count, "part int, block string, counts binary")
+    return sent.repartition(part_tasks(parts), "part").groupBy("part").applyInArrow(count, "part int, block string, counts binary")
 
 
 def answers_in_order(answers: pa.Table, column: str) -> np.ndarray:

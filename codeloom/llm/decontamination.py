@@ -12,7 +12,6 @@ but the names of the blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, held
 from .fm_index import FMIndex
 from .storage import open_input, scratch, write_file
 from .wordscan import LETTERS_DIGITS, scan, slices
@@ -119,11 +118,13 @@ def write_phrases(benchmark: DataFrame, id_col: str, text_col: str, block_bytes:
     return sorted(r.path for r in rows.coalesce(8).mapInArrow(write, "path string").collect())
 
 
-@lru_cache(maxsize=1)
 def _phrases(path: str, width: int) -> Phrases:
-    with open_input(path) as f:
-        t = pq.read_table(f)
-    return Phrases(t["id"].to_pylist(), t["text"], width)
+    def read() -> Phrases:
+        with open_input(path) as f:
+            t = pq.read_table(f)
+        return Phrases(t["id"].to_pylist(), t["text"], width)
+
+    return held(("phrases", path, width), read)
 
 
 def _found(texts: pa.Array, paths: list[str], width: int) -> pa.Array:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import CENSUS, NO_ID, Blocks, answers_in_order, census, pack, part_rows, read_block, unpack, unpack_sorted
+from .blocks import CENSUS, NO_ID, Blocks, answers_in_order, census, pack, part_rows, part_tasks, read_block, unpack, unpack_sorted
 from .storage import persisted
 from .wordscan import NOT_BLANK, Words, scan, slices, window_hashes
 
@@ -123,7 +123,7 @@ def _first_ones(sent: DataFrame, parts: int) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])[:-1]
         return group.select(["part", "block"]).append_column("counts", pa.array([pack(x) for x in np.split(first, ends)], pa.binary()))
 
-    return sent.repartition(parts, "part").groupBy("part").applyInArrow(choose, "part int, block string, counts binary")
+    return sent.repartition(part_tasks(parts), "part").groupBy("part").applyInArrow(choose, "part int, block string, counts binary")
 
 
 def _joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, tokenizer_file
+from .common import fresh, held, tokenizer_file
 
 MARK = "▁"
 _UNIT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
@@ -105,9 +104,8 @@ class PrefixCounter:
         return text[: int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])] if budget >= 0 else ""
 
 
-@lru_cache(maxsize=2)
 def counter(model: str) -> PrefixCounter:
-    return PrefixCounter(tokenizer_file(model))
+    return held(("counter", model), lambda: PrefixCounter(tokenizer_file(model)))
 
 
 def count_tokens(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", into: str = "n_tokens", prefixes_into: str | None = None, budget: int | None = None, truncated_into: str = "truncated") -> DataFrame:

@@ -14,7 +14,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tokenizer_file
+from .common import held, tokenizer_file
 from .sstable import Reader, Writer
 from .storage import open_input, persisted, scratch, write_file
 from .wordscan import slices
@@ -126,9 +125,8 @@ class _Kept(dict):
         self.missed = {}
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
-    return Encoder(tokenizer_file(name))
+    return held(("encoder", name), lambda: Encoder(tokenizer_file(name)))
 
 
 def write_token_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, shards: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 _U = np.uint64
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 5
 _WORD_MULT = 0xD1342543DE82EF95
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -125,7 +125,7 @@ def window_hashes(hashes: np.ndarray, width: int, second: bool = False) -> np.nd
     n = len(hashes)
     if n < width:
         return np.zeros(0, dtype=np.uint64)
-    out, step = np.empty(n - width + 1, dtype=np.uint64), 1 << 18
+    out, step = np.empty(n - width + 1, dtype=np.uint64), 1 << 16
     for a in range(0, len(out), step):
         b = min(a + step, len(out))
         part = hashes[a : b + width - 1]
@@ -136,7 +136,7 @@ def window_hashes(hashes: np.ndarray, width: int, second: bool = False) -> np.nd
     return mix(out + _U(width))
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+def slices(batch: pa.RecordBatch | pa.Table, text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """Consecutive parts of at most most_bytes of text each (a longer text stands alone)."""
     n = batch.num_rows
     if not n:
