@@ -37,8 +37,8 @@ class Options:
 MUST_AGREE = ("meta_trim_name", "meta_trim_description", "meta_ngram_size_text", "meta_ngram_size_bytes", "text_ngram_size", "data_avg_chunk_size")
 
 
-def load_options(source: dict[str, str] | None = None, prefix: str = "ISCC_CORE_") -> Options:
-    """Defaults, with values of the environment (or another mapping) under prefix + NAME.  What doesn't begin with an integer is ignored."""
+def load_options(source: dict[str, str] | None = None, prefix: str = "CODELOOM_") -> Options:
+    """Defaults, with values of the environment (or another mapping) under prefix + NAME (pass the prefix that an environment has).  What doesn't begin with an integer is ignored."""
     source = dict(os.environ) if source is None else source
     found = {}
     for f in fields(Options):

@@ -269,5 +269,5 @@ def test_small_helpers():
 
 
 def test_options():
-    assert options.load_options({"ISCC_CORE_TEXT_BITS": "128", "ISCC_CORE_META_BITS": "x"}).text_bits == 128
+    assert options.load_options({"X_TEXT_BITS": "128", "X_META_BITS": "x"}, "X_").text_bits == 128
     assert options.conformant(options.Options()) and not options.conformant(options.Options(text_ngram_size=5))
