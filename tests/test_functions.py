@@ -203,6 +203,9 @@ def test_multiformats_round_trip(digest, bits, base):
     code = "ISCC:" + codec.unit(Main.DATA, 0, 0, bits, digest)
     assert codec.normalize(codec.multiformat(code, base)) == code and codec.inspect(code)["hash_bytes"] == digest[: bits // 8]
     assert codec.validate(code)
+    data = codec.inspect(code)["bytes"]
+    assert codec.from_hex(data.hex()) == code == codec.from_fields(codec.decode(code))
+    assert codec.inspect(data) == codec.inspect(code) == codec.inspect(codec.decode(code))
 
 
 def test_identifiers():

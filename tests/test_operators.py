@@ -86,6 +86,18 @@ def test_arrow_functions(spark, strings):
     assert one.i.type_id == "ISCC-TEXT-V0-MCDI" and one.c.instance_match and one.c.semantic_dist is None and one.n is None and len(one.u) == 4
 
 
+def test_table_functions(spark):
+    from codeloom.functions.tables import register_tables
+
+    assert register_tables(spark) == ["loom_chunks", "loom_units", "loom_windows", "loom_buckets"]
+    full = "ISCC:KACYPXW445FTYNJ3CYSXHAFJMA2HUWULUNRFE3BLHRSCXYH2M5AEGQY"
+    assert [r.unit for r in spark.sql(f"SELECT * FROM loom_units('{full}') ORDER BY no").collect()] == codec.decompose(full)
+    assert [r.gram for r in spark.sql("SELECT gram FROM loom_windows('abcd', 3) ORDER BY no").collect()] == ["abc", "bcd"]
+    rows = spark.sql("SELECT i, c.* FROM VALUES (1, CAST(repeat('xyz', 2000) AS BINARY)) AS t(i, d), LATERAL loom_chunks(d) c ORDER BY no").collect()
+    assert sum(r.size for r in rows) == 6000 and rows[0].offset == 0
+    assert [(r.bucket, r.value) for r in spark.sql("SELECT * FROM loom_buckets(array(1L, 2L, 3L), 2) ORDER BY bucket, no").collect()] == [(0, 1), (0, 2), (1, 3)]
+
+
 def test_folds(spark):
     r = random.Random(3)
     rows = [(r.randrange(6), i, r.randrange(-(1 << 31), 1 << 31)) for i in range(200)]
