@@ -12,7 +12,8 @@ more shingles of its own than may differ can have no partner, and posts nothing.
 are split in blocks where long; two entries of a list become a candidate only if sizes fit and the
 parities of their shingles in 1024 cells differ in no more cells than the sets may in shingles (both
 tests never lose a pair).  As the result is the groups of linked documents, candidates come in
-two rounds: neighbours in each list first; then every pair of a list that isn't yet in one group.
+rounds: neighbours in each list first; then for each entry the nearest one of another group, as long
+as that finds links; at last every pair of a list that still isn't in one group.
 Candidates are checked by their full sets.  No pair within a group of copies is ever written out
 more than needed to hold the group together, and none is skipped whose link could join two groups.
 """
@@ -39,7 +40,7 @@ LONGEST = 3
 #: How many lookups a full comparison is worth.
 COMPARE = 4
 #: Longest list that one task compares; longer ones are compared block by block.
-LIST_BLOCK = 1024
+LIST_BLOCK = 512
 _BITS = 48
 
 
@@ -114,10 +115,10 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def _may_link(size_a, size_b, cells_a, cells_b, percent: int) -> np.ndarray:
+def _fits(size_a, size_b, differ, percent: int) -> np.ndarray:
     """Whether sets can be similar, by sizes and by a lower bound of how many shingles differ: |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)."""
     small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (100 * small >= percent * large) & ((100 + percent) * _differ(cells_a, cells_b) <= (100 - percent) * (small + large))
+    return (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (small + large))
 
 
 def _cell_words(column: pa.Array) -> np.ndarray:
@@ -168,7 +169,7 @@ def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
             at = np.flatnonzero((token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (100 * size[:-1] >= percent * size[1:]))
             if len(at):
                 x = _cell_words(t["cells"].combine_chunks())
-                at = at[_may_link(size[at], size[at + 1], x[at], x[at + 1], percent)]
+                at = at[_fits(size[at], size[at + 1], _differ(x[at], x[at + 1]), percent)]
                 yield _pairs_batch(node[at], node[at + 1])
 
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -176,41 +177,72 @@ def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*_POSTING, "salt").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _across(postings: DataFrame, percent: int) -> DataFrame:
-    """Candidates of two groups that share as many prefix shingles as the larger ell asks."""
+def _in_blocks(postings: DataFrame) -> DataFrame:
+    """Postings dealt to tasks by list, long lists by pairs of blocks (low, high); rows of one pair of blocks stand together, by size."""
     blocks = F.ceil(F.col("n") / LIST_BLOCK).cast("int")
     own = F.pmod(F.hash("node"), blocks)
     dealt = postings.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "node")
+    return dealt.select(*_POSTING, "component", "own", "low", "high")
+
+
+def _across_groups(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of whole lists (or pairs of blocks): row i, later rows of other groups that may link with it, and in how many cells they differ."""
+    size, group, own, low, high = (t[c].to_numpy() for c in ("size", "component", "own", "low", "high"))
+    x = _cell_words(t["cells"].combine_chunks())
+    begin = _groups(t, ["token", "low", "high"])
+    for p, q in zip(begin[:-1], begin[1:], strict=True):
+        if q - p == 1 or (group[p:q] == group[p]).all():
+            continue
+        last = np.searchsorted(size[p:q], 100 * size[p:q] // percent, side="right") + p
+        for i in range(p, q - 1):
+            j = np.arange(i + 1, last[i - p])
+            j = j[group[j] != group[i]]
+            if low[i] != high[i]:
+                j = j[own[j] != own[i]]
+            if len(j):
+                d = _differ(x[i], x[j])
+                fit = _fits(size[i], size[j], d, percent)
+                if fit.any():
+                    yield i, j[fit], d[fit]
+
+
+def _nearest(postings: DataFrame, percent: int) -> DataFrame:
+    """For each entry of a list the one of another group that differs in the fewest cells."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ["token", "low", "high"]):
+            node = t["node"].to_numpy()
+            least, best = np.full(len(node), CELLS + 1), np.full(len(node), -1)
+            for i, j, d in _across_groups(t, percent):
+                k = int(np.argmin(d))
+                if d[k] < least[i]:
+                    least[i], best[i] = d[k], j[k]
+                nearer = d < least[j]
+                least[j[nearer]], best[j[nearer]] = d[nearer], i
+            at = np.flatnonzero(best >= 0)
+            if len(at):
+                yield _pairs_batch(node[at], node[best[at]])
+
+    return _in_blocks(postings).mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _across(postings: DataFrame, percent: int) -> DataFrame:
+    """Candidates of two groups that share as many prefix shingles as the larger ell asks."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["token", "low", "high"]):
-            node, size, ell, level, group, own, low, high = (t[c].to_numpy() for c in ("node", "size", "ell", "level", "component", "own", "low", "high"))
-            x = _cell_words(t["cells"].combine_chunks())
-            begin = _groups(t, ["token", "low", "high"])
-            found_a, found_b = [], []
-            for p, q in zip(begin[:-1], begin[1:], strict=True):
-                if q - p == 1 or (group[p:q] == group[p]).all():
-                    continue
-                last = np.searchsorted(size[p:q], 100 * size[p:q] // percent, side="right") + p
-                for i in range(p, q - 1):
-                    j = np.arange(i + 1, last[i - p])
-                    j = j[group[j] != group[i]]
-                    if low[i] != high[i]:
-                        j = j[own[j] != own[i]]
-                    if len(j):
-                        j = j[_may_link(size[i], size[j], x[i], x[j], percent)]
-                        found_a.append(np.full(len(j), i))
-                        found_b.append(j)
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
+            node, ell, level = (t[c].to_numpy() for c in ("node", "ell", "level"))
+            found = [(np.full(len(j), i), j) for i, j, _ in _across_groups(t, percent)]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 most = np.maximum(ell[a], ell[b])
                 near = (level[a] <= most) & (level[b] <= most)
                 yield _pairs_batch(node[a[near]], node[b[near]], most[near])
 
-    found = dealt.select(*_POSTING, "component", "own", "low", "high").mapInArrow(pairs, "a long, b long, ell long")
+    found = _in_blocks(postings).mapInArrow(pairs, "a long, b long, ell long")
     return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("ell").alias("ell")).filter("n >= ell").select("a", "b")
 
 
@@ -230,16 +262,22 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         shared.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first(F.struct("size", "ell", "tokens", "levels", "cells", "items")).alias("x")).select("digest", "first", "x.*").withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select("node", "size", "ell", "cells", F.explode(F.arrays_zip("tokens", "levels")).alias("e")).select(F.col("e.tokens").alias("token"), "node", "size", F.col("ell").cast("long").alias("ell"), F.col("e.levels").cast("long").alias("level"), "cells")
+    entries = nodes.select("node", "size", "ell", F.explode(F.arrays_zip("tokens", "levels")).alias("e")).select(F.col("e.tokens").alias("token"), "node", "size", F.col("ell").cast("long").alias("ell"), F.col("e.levels").cast("long").alias("level"))
     lists = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     postings = persisted(entries.join(lists, "token"), "postings")
-    links = persisted(_verified(_neighbours(postings, percent), nodes, percent), "links")
-    joined = components(links)
-    grouped = postings.join(joined, postings["node"] == joined["v"], "left").drop("v").withColumn("component", F.coalesce("component", "node"))
-    grouped = persisted(grouped, "grouped")
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    more = _verified(_across(grouped.join(mixed, "token"), percent), nodes, percent)
-    joined = components(links.union(more))
+    cells_of = nodes.select("node", "cells")  # many postings of a node share its cells: they are joined where a pass needs them
+    links = persisted(_verified(_neighbours(postings.join(cells_of, "node"), percent), nodes, percent), "links")
+    while True:
+        joined = components(links)
+        grouped = postings.join(joined, postings["node"] == joined["v"], "left").drop("v").withColumn("component", F.coalesce("component", "node"))
+        grouped = persisted(grouped, "grouped")
+        mixed = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
+        mixed = persisted(grouped.join(mixed, "token"), "mixed")
+        near = persisted(_verified(_nearest(mixed.join(cells_of, "node"), percent), nodes, percent), "links")
+        if not near.head(1):
+            break
+        links = links.union(near)
+    joined = components(links.union(_verified(_across(mixed.join(cells_of, "node"), percent), nodes, percent)))
     members = nodes.join(joined, nodes["node"] == joined["v"], "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     least = members.groupBy("component").agg(F.min("first").alias("least"))
     by_digest = members.join(least, "component").select("digest", "component", "least")
