@@ -14,7 +14,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PLAIN = re.compile(f"[{_LETTERS}0-9][{_LETTERS}0-9 \\n.,]*")
 _MARKS_MEET = [a + b for a in " \n.," for b in " \n.," if a + b not in (". ", ", ", ".\n", ",\n")]
 _AS_IS = "\x01"
-_ENDS, _BLANKS = (".", ",", "\n"), ("", " ", "\n")
+_ENDS, _BLANKS = frozenset(("", _AS_IS, ".", ",", "\n")), ("", " ", "\n")
 _MOST_KEPT = 700_000
 
 
@@ -94,17 +93,20 @@ class Encoder:
         self.kept.fill(self)
         return [b"".join(f) for f in found]
 
-    def encode_units(self, keys: list[str]) -> list[bytes]:
-        """Ids of units.  Those of one blank or line end and other characters make one text, cut again by the lengths of its tokens."""
-        units = [k[1:] if k[:1] == _AS_IS else k if k[:1] in _ENDS else f" {k}" for k in keys]
-        joined = [u[0] in " \n" and u[1:2] not in _BLANKS for u in units]
-        words = list(compress(units, joined))
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        bounds = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))) + 1
-        data, bounds = ids.tobytes(), (4 * bounds).tolist()
-        cut = iter([data[a:b] for a, b in zip([0, *bounds], bounds, strict=False)])
-        other = iter(self._encode([u for u, j in zip(units, joined, strict=True) if not j]))
-        return [next(cut if j else other) for j in joined]
+    def encode_units(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Keys with the ids of their units.  Units of one blank or line end and other characters make one text, cut again by the lengths of its tokens."""
+        plain = [k for k in keys if k[:1] not in _ENDS]
+        lines = [k for k in keys if k[:1] == "\n" and k[1:2] not in _BLANKS]
+        for some, text in ((plain, " " + " ".join(plain)), (lines, "".join(lines))):
+            if some:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                ends = np.append(np.flatnonzero((data == 0x20) | (data == 0x0A))[1:], len(data))
+                bounds = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()
+                all_ids = ids.tobytes()
+                yield from zip(some, [all_ids[a:b] for a, b in zip([0, *bounds], bounds, strict=False)], strict=True)
+        other = [k for k in keys if k[:1] in _ENDS and not (k[:1] == "\n" and k[1:2] not in _BLANKS)]
+        yield from zip(other, self._encode([k[1:] if k[:1] == _AS_IS else k or " " for k in other]), strict=True)
 
 
 class _Kept(dict):
@@ -118,11 +120,11 @@ class _Kept(dict):
         return out
 
     def fill(self, encoder: Encoder) -> None:
-        units = list(self.missed)
-        for unit, ids in zip(units, encoder.encode_units(units) if units else [], strict=True):
-            self.missed[unit] += ids
-            self[unit] = ids
-        self.missed = {}
+        if self.missed:
+            for unit, ids in encoder.encode_units(list(self.missed)):
+                self.missed[unit] += ids
+                self[unit] = ids
+            self.missed = {}
 
 
 def encoder(name: str) -> Encoder:
