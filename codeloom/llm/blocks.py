@@ -88,7 +88,8 @@ class Blocks:
         self.manifest = write_blocks(docs, id_col, text_col)
         spark = docs.sparkSession
         who = F.struct("doc_id", "block", "row")
-        groups = self.manifest.groupBy("key").agg(F.min(who).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        # read from a table, so that the join can split a text of very many copies
+        groups = persisted(self.manifest.groupBy("key").agg(F.min(who).alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
         self.copies = persisted(
             self.manifest.join(groups, "key").filter(who != F.col("first")).select("doc_id", "block", "row", "key"), "copies"
         )
@@ -161,7 +162,7 @@ def part_rows(block: str, keys: np.ndarray, bits: int, parts: int, **more: np.nd
     at = cut_by_part(keys, bits, parts)
     full = np.flatnonzero(np.diff(at))
     return pa.RecordBatch.from_pydict(
-        {"part": pa.array(full, pa.int32()), "block": [block] * len(full), "keys": pa.array([pack_sorted(keys[at[p] : at[p + 1]]) for p in full], pa.binary())}
+        {"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.string()), "keys": pa.array([pack_sorted(keys[at[p] : at[p + 1]]) for p in full], pa.binary())}
         | {k: pa.array([pack(v[at[p] : at[p + 1]]) for p in full], pa.binary()) for k, v in more.items()}
     )
 
