@@ -78,7 +78,8 @@ def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     into = fresh(into, docs.columns)
     spark_rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hash")).alias("doc"), F.col(text_col).alias("text"))
     every = persisted(spark_rows.select("doc", F.explode(_chunks(F.col("text"))).alias("c")).select("doc", "c.*").distinct(), "chunks")
-    again = every.groupBy("h1", "h2", "n").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    # read from a table, so that the join can split a chunk that very many documents hold
+    again = persisted(every.groupBy("h1", "h2", "n").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "again")
     proposed = persisted(every.join(again, ["h1", "h2", "n"]), "proposed")
     by_doc = proposed.groupBy("doc").agg(F.collect_list(F.struct("no", "start", "n", "h1", "h2")).alias("chunks"))  # at most a document's chunks
     texts = spark_rows.dropDuplicates(["doc"]).join(by_doc, "doc").select("doc", _lines(F.col("text")).alias("lines"), "chunks")
