@@ -6,11 +6,12 @@ sample size) gives quantile boundaries, which cut the key space into fine ranges
 bytes; their exact bytes are then summed.  Ranges that a shard's end falls into, or that are
 overfull, are cut again into equal parts of their key interval and summed again, down to single
 keys where needed.  A key that alone holds more than a fraction of a shard (``heavy``) is placed
-apart: whole, on the emptiest shard, while it is no larger than a shard; a larger one is divided
-among shards by a hash of the record.  The other keys fill up what is left of each shard, in key order.
+apart: whole, on the emptiest shard, while it is no larger than a shard; a larger one is cut into
+parts by a hash of the records' ids, and the parts go to as few shards as can take them.  The other keys fill up what is left of each shard, in key order.
 
-The driver gets only bounded things: the sample, sums of ranges (``ranges`` a round), and heavy
-keys, of which there are at most shards / heavy.  Records are moved once, for the slots, without
+The driver gets only bounded things: the sample, sums of ranges (``ranges`` a round), heavy keys, of
+which there are at most shards / heavy, and sums of the parts of keys larger than a shard, of which
+there are fewer than shards.  Records are moved once, for the slots, without
 their texts, in parts that are small whatever a key holds.  DataFrame functions only.
 """
 
@@ -30,7 +31,7 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 @dataclass
 class Plan:
-    """cuts[i]: the first key of shard i + 1 among the light keys; heavy: key -> shards that share it."""
+    """cuts[i]: the first key of shard i + 1 among the light keys; heavy: key -> shard, or the shard of each of its parts."""
 
     shards: int
     cuts: list[int]
@@ -57,18 +58,36 @@ def _sums(keys: DataFrame, bounds: list[int]) -> list[int]:
     return out
 
 
-def plan_shards(keys: DataFrame, shards: int, *, ranges: int = 512, sample: int = 8192, heavy: float = 0.01, tolerance: float = 0.001, seed: int = 7) -> Plan:
-    """keys: one row for each key, with its bytes."""
+PARTS = 1024
+
+
+def _part(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(ident, F.lit(3)), F.lit(PARTS)).cast("int")
+
+
+def plan_shards(rows: DataFrame, shards: int, *, ranges: int = 512, sample: int = 8192, heavy: float = 0.01, tolerance: float = 0.001, seed: int = 7) -> Plan:
+    """rows: doc_id, key and size of each record."""
+    keys = persisted(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-keys")
     total = int(keys.agg(F.sum("bytes")).first()[0] or 0)
     if not total:
         return Plan(shards, [_HIGH] * (shards - 1), {})
     fair = total / shards
     load, placed = [0.0] * shards, {}
-    for r in sorted(keys.filter(F.col("bytes") > F.lit(heavy * fair)).select("key", "bytes").collect(), key=lambda r: (-r.bytes, r.key)):
-        need = max(1, -(-r.bytes // int(max(1, fair))))
-        placed[r.key] = sorted(sorted(range(shards), key=lambda s: (load[s], s))[:need])
-        for s in placed[r.key]:
-            load[s] += r.bytes / need
+    large = sorted(keys.filter(F.col("bytes") > F.lit(heavy * fair)).select("key", "bytes").collect(), key=lambda r: (-r.bytes, r.key))
+    beyond = [r.key for r in large if r.bytes > fair]
+    sums = rows.filter(F.col("key").isin(beyond)).groupBy("key", _part(F.col("doc_id")).alias("part")).agg(F.sum("size").alias("b")).collect() if beyond else []
+    for r in large:
+        emptiest = sorted(range(shards), key=lambda s: (load[s], s))
+        if r.bytes <= fair:
+            placed[r.key] = emptiest[:1]
+            load[emptiest[0]] += r.bytes
+            continue
+        among = emptiest[: int(-(-r.bytes // fair))]
+        placed[r.key] = [among[0]] * PARTS
+        for x in sorted((x for x in sums if x.key == r.key), key=lambda x: (-x.b, x.part)):
+            s = min(among, key=lambda s: (load[s], s))
+            placed[r.key][x.part] = s
+            load[s] += x.b
     light = keys.filter(F.col("bytes") <= F.lit(heavy * fair))
     rest = total - sum(load)
     # what each shard still takes: heavy keys may have left some above the fair share
@@ -112,6 +131,18 @@ def plan_shards(keys: DataFrame, shards: int, *, ranges: int = 512, sample: int
     return Plan(shards, ordered, placed)
 
 
+def _placed(rows: DataFrame, plan: Plan, key: str, ident: str, into: str) -> DataFrame:
+    """rows with their shard."""
+    shard = _range_of(F.col(key), plan.cuts)
+    if not plan.heavy:
+        return rows.withColumn(into, shard.cast("int"))
+    other, among = fresh("_heavy", [*rows.columns, into]), fresh("_among", [*rows.columns, into])
+    heavy = rows.sparkSession.createDataFrame(list(plan.heavy.items()), f"{other} long, {among} array<int>")
+    joined = rows.join(F.broadcast(heavy), F.col(key) == F.col(other), "left")  # at most shards / heavy rows
+    own = F.when(F.size(among) == 1, F.get(among, F.lit(0))).otherwise(F.get(among, _part(F.col(ident))))
+    return joined.withColumn(into, F.when(F.col(among).isNotNull(), own).otherwise(shard).cast("int")).drop(other, among)
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", parts: int = 64, **options) -> DataFrame:
     """One row for each row of docs: doc_id, size (UTF-8 bytes plus 1), text_crc32 (unsigned), shard, slot (gapless from 0 in each shard).
 
@@ -124,18 +155,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"))
     rows = persisted(rows, "shard-rows")
-    keys = persisted(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-keys")
-    plan = plan_shards(keys, shards, **options)
-    shard = _range_of(F.col("key"), plan.cuts)
-    placed = rows
-    if plan.heavy:
-        spark = docs.sparkSession
-        heavy = spark.createDataFrame([(k, s) for k, s in plan.heavy.items()], "key long, among array<int>")  # at most shards / heavy rows
-        placed = rows.join(F.broadcast(heavy), "key", "left")
-        among = F.col("among")
-        spread = F.element_at(among, (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.size(among)) + 1).cast("int"))
-        shard = F.when(among.isNotNull(), spread).otherwise(shard)
-    placed = placed.select("doc_id", "size", "text_crc32", "key", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(parts)).cast("int").alias("part"))
+    placed = _placed(rows, plan_shards(rows, shards, **options), "key", "doc_id", "shard")
+    placed = placed.select("doc_id", "size", "text_crc32", "key", "shard", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(parts)).cast("int").alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "part", offset.alias("offset"))
@@ -149,12 +170,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, *, id_col: str =
     """Writes docs below path as shard=0, shard=1 and so on, each in up to ``files`` files (more for more data), without a task holding a shard."""
     name, spread = fresh("shard", docs.columns), fresh("_spread", docs.columns)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("key"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"))
-    plan = plan_shards(persisted(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-keys"), shards, **options)
-    key, among = F.xxhash64(text), None
-    shard = _range_of(key, plan.cuts)
-    for k, s in plan.heavy.items():
-        among = F.element_at(F.array(*map(F.lit, s)), (F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(3)), F.lit(len(s))) + 1).cast("int"))
-        shard = F.when(key == F.lit(k), among).otherwise(shard)
-    placed = docs.withColumn(name, shard.cast("int")).withColumn(spread, F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(files)))
-    placed.repartition(shards * files, name, spread).drop(spread).write.partitionBy(name).parquet(path)
+    key, ident = fresh("_key", docs.columns), fresh("_id", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(text)).withColumn(ident, F.col(id_col).cast("long"))
+    sizes = persisted(keyed.select(F.col(ident).alias("doc_id"), F.col(key).alias("key"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size")), "shard-rows")
+    placed = _placed(keyed, plan_shards(sizes, shards, **options), key, ident, name).withColumn(spread, F.pmod(F.xxhash64(ident), F.lit(files)))
+    placed.drop(key, ident).repartition(shards * files, name, spread).drop(spread).write.partitionBy(name).parquet(path)
