@@ -247,8 +247,11 @@ class InstanceHasher:
 
 def instance_code(data: bytes, bits: int | None = None, version: int | None = None, options: Options = DEFAULTS) -> dict:
     _only_version_0(version)
-    digest = blake3([data])[0]
-    return {"code": _coded(Main.INSTANCE, Plain.NONE, bits or options.instance_bits, digest), "datahash": MULTIHASH_BLAKE3 + digest.hex(), "filesize": len(data)}
+    return instance_result(blake3([data])[0], len(data), bits or options.instance_bits)
+
+
+def instance_result(digest: bytes, size: int, bits: int) -> dict:
+    return {"code": _coded(Main.INSTANCE, Plain.NONE, bits, digest), "datahash": MULTIHASH_BLAKE3 + digest.hex(), "filesize": size}
 
 
 # -- identifiers ------------------------------------------------------------------------------

@@ -82,6 +82,30 @@ def vectorised(fn: Callable, returns: str, **options) -> Callable[..., Column]:
     return lambda *cols: many(*(F.col(c) if isinstance(c, str) else c for c in cols))
 
 
+def _instances(options: Options) -> Callable[..., Column]:
+    """Instance codes with all data of a batch hashed side by side (a few MB at a time)."""
+
+    def batch(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = list(_rows(part))
+            data = [None if _missing(r[0]) else bytes(r[0]) for r in rows]
+            at, digests, group, size = [i for i, d in enumerate(data) if d is not None], {}, [], 0
+            for k, i in enumerate(at):
+                group.append(i)
+                size += len(data[i])
+                if size >= 4 << 20 or k == len(at) - 1:
+                    digests.update(zip(group, codes.blake3([data[g] for g in group]), strict=True))
+                    group, size = [], 0
+            found = []
+            for i, r in enumerate(rows):
+                bits = options.instance_bits if len(r) < 2 or _missing(r[1]) or not r[1] else int(r[1])
+                found.append({} if i not in digests else codes.instance_result(digests[i], len(data[i]), bits))
+            yield pd.DataFrame({n: pd.Series([f.get(n) for f in found], dtype=object) for n in ("code", "datahash", "filesize")})
+
+    many = F.pandas_udf(batch, T._parse_datatype_string(INSTANCE))
+    return lambda *cols: many(*(F.col(c) if isinstance(c, str) else c for c in cols))
+
+
 class Functions:
     """Column functions under one set of options (of the session, say)."""
 
@@ -106,7 +130,7 @@ class Functions:
         self.video_code = make(lambda f, bits=None: codes.video_code(f, bits, options=o), CODE)
         self.mixed_code = make(lambda c, bits=None: codes.mixed_code(c, bits, options=o), MIXED)
         self.data_code = make(lambda d, bits=None: codes.data_code(d, bits, options=o), CODE)
-        self.instance_code = make(lambda d, bits=None: codes.instance_code(d, bits, options=o), INSTANCE)
+        self.instance_code = _instances(o)
         self.compose = make(lambda c, wide=False: codec.compose(c, bool(wide)), "string")
         self.flake_code = F.udf(lambda bits: codes.flake_code(bits, options=o)["code"], "string").asNondeterministic()
         self.time_id = make(lambda t, hub=0, realm=0: codes.time_id(t, hub, realm)["code"], "string")
