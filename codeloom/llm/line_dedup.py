@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 from .storage import persisted
 
-#: Fixed values of the cut: multiplier, modulus, lines hashed together, and a chunk's lines on average.
+#: Fixed values of the cut: multiplier, modulus; and where not given, lines hashed together and a chunk's lines on average.
 BASE, MODULUS, ROLL, AVERAGE = 31, 1_000_003, 3, 4
 
 
@@ -30,23 +30,37 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def _ends(lines: Column) -> Column:
+def _spaced(ends: Column) -> Column:
+    """Of ascending numbers the first of each run of neighbours, and every other after it."""
+    far = lambda a, b: F.coalesce(b - a > 1, F.lit(True))
+    starts = F.filter(ends, lambda e, k: far(F.get(ends, k - 1), e))
+    stops = F.filter(ends, lambda e, k: far(e, F.get(ends, k + 1)))
+    return _let(stops, lambda t: F.flatten(F.transform(starts, lambda e, k: F.sequence(e, F.get(t, k), F.lit(2)))))
+
+
+def _ends(lines: Column, average: int, roll: int, least: int) -> Column:
     """Numbers of the lines that end a chunk, ascending."""
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
 
     def rolled(h: Column, i: Column) -> Column:
         total = F.lit(0).cast("long")
-        for k in range(ROLL - 1, -1, -1):
+        for k in range(roll - 1, -1, -1):
             total = total * BASE + F.when(i >= k, F.get(h, i - k)).otherwise(F.lit(0))
         return total % MODULUS
 
     def ends(h: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolled(h, i) % AVERAGE == 0) | (i == F.size(h) - 1))
+        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolled(h, i) % average == 0) | (i == F.size(h) - 1))
 
-    return _let(hashes, ends)
+    def apart(h: Column) -> Column:
+        """The same with two lines a chunk at least: what stands before the text counts as an end, and one line that is left at last joins the chunk before it."""
+        found = F.filter(F.sequence(F.lit(-1), F.size(h) - 2), lambda i: (i < 0) | (rolled(h, i) % average == 0))
+        inner = F.filter(_let(found, _spaced), lambda e: (e >= 0) & (e < F.size(h) - 2))
+        return F.concat(inner, F.array(F.size(h) - 1))
 
+    return _let(hashes, ends if least == 1 else apart)
 
-def _chunks(text: Column) -> Column:
+
+def _chunks(text: Column, average: int, roll: int, least: int) -> Column:
     """All chunks of two lines and more: number among the chunks, first line, lines, and two hashes of its text."""
 
     def of(lines: Column) -> Column:
@@ -61,12 +75,12 @@ def _chunks(text: Column) -> Column:
             text = F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n")
             return F.struct(c["no"].alias("no"), c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
 
-        return F.transform(_let(_ends(lines), each), hashed)
+        return F.transform(_let(_ends(lines, average, roll, least), each), hashed)
 
     return _let(_lines(text), of)
 
 
-def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "deduped") -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "deduped", average: int = AVERAGE, roll: int = ROLL, least: int = 1) -> DataFrame:
     """docs with a struct: n_lines, n_removed (lines), text (what is left, lines joined by line ends).
 
     Of equal chunks the one in the document of the least id stays (a null id is less than any; texts
@@ -74,10 +88,17 @@ def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     count as one document and all keep or lose the same.  Null and empty texts are one empty line.
     Chunks of one line always stay, and so does a chunk whose hashes stand for two different texts.
     The column comes last, with underscores behind its name if docs has it.
+
+    A chunk ends where the hash of the last roll lines is a multiple of average, and has least lines
+    (1 or 2) if the text has.  The first roll - 1 lines of a passage are cut by what stands before
+    it, and one-line chunks are never compared: average=2, roll=2, least=2 finds more than the cut
+    of the query, which its SQL fixes (figures: README).
     """
+    if least not in (1, 2) or average < 1 or roll < 1:
+        raise ValueError("least is 1 or 2; average and roll are 1 at least")
     into = fresh(into, docs.columns)
     spark_rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hash")).alias("doc"), F.col(text_col).alias("text"))
-    every = persisted(spark_rows.select("doc", F.explode(_chunks(F.col("text"))).alias("c")).select("doc", "c.*").distinct(), "chunks")
+    every = persisted(spark_rows.select("doc", F.explode(_chunks(F.col("text"), average, roll, least)).alias("c")).select("doc", "c.*").distinct(), "chunks")
     # read from a table, so that the join can split a chunk that very many documents hold
     again = persisted(every.groupBy("h1", "h2", "n").agg(F.count("*").alias("times")).filter("times > 1").drop("times"), "again")
     proposed = persisted(every.join(again, ["h1", "h2", "n"]), "proposed")

@@ -1,6 +1,7 @@
 """Similarity join, substring removal, decontamination and line chunks against brute force."""
 
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -160,6 +161,39 @@ def test_line_chunks_of_odd_rows(make_docs):
     assert remove_repeated_chunks(make_docs([])).count() == 0
 
 
+def test_line_chunks_of_two_lines_at_least(make_docs):
+    """The cut in plain Python; and of passages behind other lines it finds more than the query's cut."""
+    r = random.Random(4)
+    docs = [(i, "\n".join(r.choices("abcdefgh", k=r.randrange(1, 40)))) for i in range(150)] + [(200, "a"), (201, "a\nb"), (202, "a\nb"), (203, "a\nb\nc"), (204, None), (205, "x\n" * 3000)]
+    passages = ["\n".join(f"{p} {k}" for k in range(10)) for p in range(30)]
+    docs += [(300 + i, f"before {i}\n{passages[i % 30]}\nbehind {i}") for i in range(60)]
+    first, expected = set(), {}
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        ends, start = [], 0
+        for i in range(len(lines) - 1):
+            if ((h[i - 1] if i else 0) * 31 + h[i]) % 1_000_003 % 2 == 0 and i - start >= 1 and i < len(lines) - 2:
+                ends.append(i)
+                start = i + 1
+        kept, start = [], 0
+        for e in [*ends, len(lines) - 1]:
+            chunk = tuple(lines[start : e + 1])
+            if len(chunk) == 1 or chunk not in first:
+                kept += chunk
+            first.add(chunk)
+            start = e + 1
+        expected[d] = "\n".join(kept)
+    got = remove_repeated_chunks(make_docs(docs), average=2, roll=2, least=2)
+    rows = {r.doc_id: r["deduped_"] for r in got.collect()}
+    assert {d: r.text for d, r in rows.items()} == expected
+    usual = {r.doc_id: r["deduped_"].n_removed for r in remove_repeated_chunks(make_docs(docs)).collect()}
+    again = range(330, 360)
+    assert sum(rows[d].n_removed for d in again) > sum(usual[d] for d in again)
+    with pytest.raises(ValueError):
+        remove_repeated_chunks(make_docs(docs), least=3)
+
+
 def test_empty_tables(make_docs):
     empty = make_docs([])
     assert similar_groups(empty).count() == 0 and drop_similar(empty).count() == 0 and remove_repeats(empty).count() == 0
