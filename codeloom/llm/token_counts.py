@@ -11,6 +11,14 @@ the other.  With cost(u) the count of unit u,
 which gives the count the library would return for text[:i], for every i, from a table of units'
 prefixes; truncation to a budget and budget questions read that array and encode nothing again.
 Whether the tokenizer has the property is tested when it is loaded; without it, whole texts are encoded.
+
+Inside of a unit the counts are by dynamic programming, too.  Merges go by the score of what they
+make, so a row of tokens is the library's encoding just if that holds for each two neighbours; hence
+the encoding of u[:j] ends in the one token t before j that may follow the last token of u[:j - len(t)]:
+
+    cost(u[:j]) = cost(u[:j - len(t)]) + cost(t)
+
+That is one step for each character and each length of a piece.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ from .common import fresh, held, tokenizer_file
 MARK = "▁"
 _UNIT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 _MOST_KEPT = 400_000
+#: Characters of the longest unit whose prefixes' counts are kept for the next text.
+_LONGEST_KEPT = 200
 
 
 class PrefixCounter:
@@ -41,6 +51,13 @@ class PrefixCounter:
         self.units_stand_alone = all(set(p) == {MARK} or MARK not in p[1:] for p in pieces) and self._keeps_text()
         self.costs: dict[str, int] = {}
         self.prefix_costs: dict[str, np.ndarray] = {}
+        m, ids = self.model, range(self.model.get_piece_size())
+        self.scores = {m.id_to_piece(i): m.get_score(i) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
+        long = [s for p, s in self.scores.items() if len(p) > 1 and set(p) != {MARK}]
+        self.steps = self.units_stand_alone and sum(map(m.is_byte, ids)) == 256 and len(set(long)) == len(long)
+        self.longest = max(map(len, self.scores))
+        self.wholes: dict[str, bool] = {}
+        self.follows: dict[tuple[str, str], bool] = {}
 
     def _keeps_text(self) -> bool:
         """That the model changes no characters and keeps every space, but for the one it puts in front."""
@@ -78,13 +95,56 @@ class PrefixCounter:
                 out.append(sum(map(self.costs.__getitem__, units)))
         return out
 
+    def _merged(self, text: str) -> list[str]:
+        """Tokens of a short text, with nothing put in front: the best merge first, and of equal ones the leftmost."""
+        parts = list(text)
+        while len(parts) > 1:
+            scores = [self.scores.get(a + b, -np.inf) for a, b in zip(parts[:-1], parts[1:], strict=True)]
+            best = max(scores)
+            if best == -np.inf:
+                break
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def _may_end(self, token: str) -> bool:
+        """Whether token is one that encodings have."""
+        if (found := self.wholes.get(token)) is None:
+            found = self.wholes[token] = token in self.scores and self._merged(token) == [token]
+        return found
+
+    def _may_follow(self, before: str, token: str) -> bool:
+        if (found := self.follows.get((before, token))) is None:
+            if len(self.follows) > _MOST_KEPT:
+                self.follows.clear()
+            found = self.follows[before, token] = self._merged(before + token) == [before, token]
+        return found
+
+    def _stepped(self, unit: str) -> np.ndarray | None:
+        """cost(unit[:j]) for j = 0 to len(unit), by the last token of each; None where there isn't one."""
+        unit = unit.replace(" ", MARK)
+        last, cost = [""], [0]
+        for j in range(1, len(unit) + 1):
+            for n in range(min(j, self.longest), 0, -1):
+                token = unit[j - n : j]
+                if (n == 1 or (token in self.scores and self._may_end(token))) and (j == n or self._may_follow(last[j - n], token)):
+                    last.append(token)
+                    cost.append(cost[j - n] + (1 if token in self.scores else len(token.encode())))
+                    break
+            else:
+                return None
+        return np.array(cost, dtype=np.int32)
+
     def _unit_prefixes(self, unit: str) -> np.ndarray:
         """cost(unit[:j]) for j = 0 to len(unit); cost of nothing is 0."""
         if (found := self.prefix_costs.get(unit)) is None:
             if len(self.prefix_costs) > _MOST_KEPT // 8:
                 self.prefix_costs.clear()
-            found = np.array([0, *self._unit_lengths([unit[:j] for j in range(1, len(unit) + 1)])], dtype=np.int32)
-            self.prefix_costs[unit] = found
+            found = self._stepped(unit) if self.steps else None
+            if found is None or found[-1] != self._unit_lengths([unit])[0]:
+                found = np.array([0, *self._unit_lengths([unit[:j] for j in range(1, len(unit) + 1)])], dtype=np.int32)
+            if len(unit) <= _LONGEST_KEPT:
+                self.prefix_costs[unit] = found
         return found
 
     def prefix_counts(self, text: str) -> np.ndarray:

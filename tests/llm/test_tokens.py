@@ -33,6 +33,35 @@ def test_counts_of_every_prefix():
             assert c.truncate(text, budget) == text[:fits]
 
 
+@pytest.mark.parametrize("kind", ["base64", "han", "same", "blank"])
+def test_prefixes_of_long_units(kind, monkeypatch):
+    """100,000 characters without blanks: the library gets each of them a few times at most, not once for each prefix."""
+    c, r, n = counter("piece_bpe_32k.model"), random.Random(7), 100_000
+    letters = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "han": [chr(k) for k in range(0x4E00, 0x9FFF)], "same": "a", "blank": " "}[kind]
+    text, encode, sent = "".join(r.choices(letters, k=n)), c._encode_lengths, []
+
+    def counted(texts):
+        sent.append(sum(map(len, texts)))
+        assert sum(sent) <= 4 * n
+        return encode(texts)
+
+    monkeypatch.setattr(c, "_encode_lengths", counted)
+    got = c.prefix_counts(text)
+    assert len(got) == n + 1
+    for i in [*range(60), 1000, 4321, n // 2, n - 1, n]:
+        assert got[i] == len(c.model.encode(text[:i]))
+    assert c.truncate(text, 1000) == text[: int(np.flatnonzero(got <= 1000)[-1])]
+
+
+def test_prefixes_within_units():
+    c, r = counter("piece_bpe_32k.model"), random.Random(8)
+    pieces = [p for p in c.scores if set(p) != {"▁"}]
+    for k in range(300):
+        parts = [lambda: r.choice(pieces).lstrip("▁"), lambda: r.choice("thinerao"), lambda: r.choice(ODD).strip(), lambda: r.choice("=-_'0e")][k % 4]
+        unit = " " * r.choice((1, 1, 2, 5)) + "x" + "".join(parts() for _ in range(r.randrange(1, 30)))
+        assert c._stepped(unit).tolist() == [0, *c._unit_lengths([unit[:j] for j in range(1, len(unit) + 1)])], unit
+
+
 def test_count_tokens(make_docs):
     docs = sample_docs(seed=2)
     df = make_docs(docs)
