@@ -9,7 +9,8 @@ the other.  With cost(u) the count of unit u,
     count(i inside of unit k) = count(end of unit k - 1) + cost(unit k's first characters up to i)
 
 which gives the count the library would return for text[:i], for every i, from a table of units'
-prefixes; truncation to a budget and budget questions read that array and encode nothing again.
+prefixes; truncation to a budget reads that array and encodes nothing again.  The count of a whole
+text and whether it is over a limit are read from the counts at the ends of units.
 Whether the tokenizer has the property is tested when it is loaded; without it, whole texts are encoded.
 
 Inside of a unit the counts are by dynamic programming, too.  Merges go by the score of what they
@@ -85,14 +86,21 @@ class PrefixCounter:
         """Tokens of each whole text."""
         if not self.units_stand_alone:
             return self._encode_lengths(texts)
+        return [int(x[-1]) if len(x) else 0 for x in self.running_counts(texts)]
+
+    def running_counts(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the counts at the ends of its units, ascending; the last is that of the whole text."""
+        if not self.units_stand_alone:
+            return [np.array([n]) for n in self._encode_lengths(texts)]
         out = []
         for text in texts:
             units = self._units(text)
             try:
-                out.append(sum(map(self.costs.__getitem__, units)))
+                costs = [*map(self.costs.__getitem__, units)]
             except KeyError:
                 self._learn(set(units))
-                out.append(sum(map(self.costs.__getitem__, units)))
+                costs = [*map(self.costs.__getitem__, units)]
+            out.append(np.cumsum(costs, dtype=np.int64))
         return out
 
     def _merged(self, text: str) -> list[str]:
@@ -168,8 +176,8 @@ def counter(model: str) -> PrefixCounter:
     return held(("counter", model), lambda: PrefixCounter(tokenizer_file(model)))
 
 
-def count_tokens(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", into: str = "n_tokens", prefixes_into: str | None = None, budget: int | None = None, truncated_into: str = "truncated") -> DataFrame:
-    """docs with the token count of the whole text; on request also the counts at all prefixes (array) and the longest prefix within budget.
+def count_tokens(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", into: str = "n_tokens", prefixes_into: str | None = None, budget: int | None = None, truncated_into: str = "truncated", limit: int | None = None, over_into: str = "over_limit") -> DataFrame:
+    """docs with the token count of the whole text; on request also the counts at all prefixes (array), the longest prefix within budget, and whether the text has more than limit tokens.
 
     Null and empty texts have 0 tokens (and a null truncated text for null).  No begin, end or
     added special tokens; special tokens' strings inside a text are ordinary text.  Rows are judged
@@ -182,17 +190,22 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", model: str = "piece
         added.append(T.StructField(fresh(prefixes_into, [*docs.columns, into]), T.ArrayType(T.IntegerType())))
     if budget is not None:
         added.append(T.StructField(fresh(truncated_into, [*docs.columns, *(f.name for f in added)]), T.StringType()))
+    if limit is not None:
+        added.append(T.StructField(fresh(over_into, [*docs.columns, *(f.name for f in added)]), T.BooleanType()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model)
         for batch in batches:
             raw = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             texts = [x or "" for x in raw]
-            new = [pa.array(c.count(texts), pa.int64())]
+            running = c.running_counts(texts)
+            new = [pa.array([int(x[-1]) if len(x) else 0 for x in running], pa.int64())]
             if prefixes_into:
                 new.append(pa.array([c.prefix_counts(x) for x in texts], pa.list_(pa.int32())))
             if budget is not None:
                 new.append(pa.array([None if r is None else c.truncate(r, budget) for r in raw], pa.string()))
+            if limit is not None:
+                new.append(pa.array([len(x) > 0 and limit < int(x[-1]) for x in running], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, *added]))

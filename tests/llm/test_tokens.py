@@ -75,6 +75,20 @@ def test_count_tokens(make_docs):
     assert count_tokens(make_docs([])).count() == 0
 
 
+def test_limits_from_running_counts(make_docs):
+    """The query's counts and limit are those of the prefix array at the ends of units."""
+    c = counter("piece_bpe_32k.model")
+    texts = odd_texts(100, 9) + ["a b  c"]
+    for text, running in zip(texts, c.running_counts(texts), strict=True):
+        ends = np.cumsum([len(u) for u in c._units(text)]) - 1
+        assert running.tolist() == c.prefix_counts(text)[ends].tolist() if text else len(running) == 0
+    got = count_tokens(make_docs([(i, t) for i, t in enumerate(texts)] + [(1000, None)]), limit=5)
+    assert got.columns[-1] == "over_limit"
+    for r in got.collect():
+        n = len(c.model.encode(r.text or ""))
+        assert r["n_tokens_"] == n and r.over_limit == (n > 5)
+
+
 def test_encoder_is_the_library():
     e = encoder("byte_bpe_50k.json")
     assert e.units_stand_alone
