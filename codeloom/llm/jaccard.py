@@ -2,7 +2,8 @@
 
 Every document is its set of shingles; equal sets are one node.  With shingles in one global order,
 rare ones first, two sets of similarity t share at least l shingles among the first
-n - ceil(t n) + l of each (n: a set's size), for every l.  A longer prefix costs more lookups but
+n - ceil(t n) + l of each (n: a set's size), for every l that isn't more than they share; at least
+ceil(t n), which bounds the l of each.  A longer prefix costs more lookups but
 asks for more matches before two sets are compared in full.  Each document picks its l by the
 estimated cost: lookups (the sum of its prefix shingles' document counts) and full comparisons
 (that sum over l); a pair uses the larger l of the two.
@@ -64,14 +65,15 @@ def cells(shingles: np.ndarray) -> bytes:
 def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int] | None:
     """Shared shingles to post, from which l on each belongs to the prefix, and the l chosen; None if no partner is possible."""
     n = len(shingles)
-    first = n - -(-percent * n // 100) + 1
+    least = -(-percent * n // 100)  # that a partner shares
+    first = n - least + 1
     shared = np.flatnonzero(counts > 1)
     own = n - len(shared)
     if own >= first:
         return None
     order = shared[np.lexsort((shingles[shared], counts[shared]))][: first - own + LONGEST - 1]
     level = np.maximum(1, np.arange(len(order)) - (first - own) + 2)
-    lookups = [int(counts[order[level <= m]].sum()) for m in range(1, LONGEST + 1)]
+    lookups = [int(counts[order[level <= m]].sum()) for m in range(1, max(1, min(LONGEST, least)) + 1)]
     costs = [x * (1 + COMPARE / m) for m, x in enumerate(lookups, 1)]
     return shingles[order], level, 1 + int(np.argmin(costs))
 

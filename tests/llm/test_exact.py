@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from brute import contaminated, groups, order, sample_docs, shingles, without_repeats, words
 from pyspark.sql import functions as F
@@ -53,6 +54,21 @@ def test_prefixes_meet():
             assert len(shared) >= min(m, common)
 
 
+@pytest.mark.parametrize("percent", [1, 34, 50, 60, 66, 67, 80, 90, 100])
+def test_prefixes_ask_for_no_more_than_pairs_share(percent):
+    """Small sets, each size and overlap: those that link share as many prefix shingles as the larger l of the two asks."""
+    for n in range(1, 12):
+        for m in range(1, n + 1):
+            for common in range(1, m + 1):
+                if 100 * common < percent * (n + m - common):
+                    continue
+                a = np.arange(n, dtype=np.uint64)
+                b = np.r_[a[:common], np.arange(100, 100 + m - common)].astype(np.uint64)
+                (x, at_x, l_x), (y, at_y, l_y) = (prefix(s, np.full(len(s), 5), percent) for s in (a, b))
+                most = max(l_x, l_y)
+                assert len({*x[at_x <= most].tolist()} & {*y[at_y <= most].tolist()}) >= most, (n, m, common)
+
+
 def test_drop_similar(make_docs):
     docs = sample_docs(seed=7)
     df = make_docs(docs)
