@@ -19,10 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def asset_codes(spark, d):
-    """Flagship: composite of each document's name (its source and first line), text and bytes."""
-    name = F.concat_ws(" ", "source", "lang", F.substring(F.split("text", "\n")[0], 1, 80))
-    docs = _table(spark, d, "documents").filter("text is not null").select("doc_id", name.alias("name"), "text")
-    return coded.with_asset_code(docs, "name", "text").select("doc_id", "asset_code")
+    """Flagship: composite of each document's name (its source and first line, trimmed by the meta code), text and bytes; null without a text."""
+    name = F.concat_ws(" ", "source", "lang", F.split("text", "\n")[0])
+    docs = _table(spark, d, "documents").select("doc_id", name.alias("name"), "text")
+    with_text = coded.with_asset_code(docs.filter("text is not null"), "name", "text").select("doc_id", "asset_code")
+    return with_text.union(docs.filter("text is null").select("doc_id", F.lit(None).cast("string")))
 
 
 def text_codes(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import codec, codes, compare, native, sketches, text
 from codeloom.functions.columns import Functions, register
 from codeloom.operators import coded, duplicates, folds, similarity
+from codeloom.plans import queries
 from codeloom.sources import files
 from codeloom.streaming import blocks as sb
 from codeloom.streaming import events as ev
@@ -154,6 +155,17 @@ def test_units_and_chunks(spark):
         assert r.n == r.end == {1: 4000, 2: 1}[r.i]
 
 
+def test_asset_codes_of_whole_first_lines_and_null_texts(spark, tmp_path):
+    line = "short words only " * 5  # 85 characters
+    docs = [(1, "web", "en", f"{line}one two\nsame"), (2, "web", "en", f"{line}other ending\nsame"), (3, "web", "en", None)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.asset_codes(spark, str(tmp_path))
+    codes = {r.doc_id: r.asset_code for r in got.collect()}
+    assert codes.keys() == {1, 2, 3} and codes[3] is None
+    units = {(r.doc_id, r.main): r.body for r in coded.units(got.filter("asset_code is not null"), "doc_id", "asset_code").collect()}
+    assert units[1, 0] != units[2, 0]
+
+
 def test_blocks_in_batches_and_streams(spark, tmp_path):
     assets = [(i, bytes((i * k) % 251 for k in range(n))) for i, n in enumerate((0, 1, 5000, 20_000))]
     df = spark.createDataFrame(assets, "i int, d binary")
