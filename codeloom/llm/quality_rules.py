@@ -143,7 +143,7 @@ def _best(values: dict[str, np.ndarray], bad: np.ndarray, candidates: int) -> tu
 
 
 def learn_rules(values: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.95, support: int = 3, candidates: int = 512) -> list[Rule]:
-    """Sequential covering: rules for bad rows, each precise on rows that it wasn't grown on.  No bad rows, or only such: no rules."""
+    """Sequential covering: rules for bad rows, each precise on the third that it wasn't grown on, with support bad rows there.  No bad rows, or only such: no rules."""
     left, rules = np.arange(len(bad)), []
     while len(rules) < most_rules:
         prune = np.arange(len(left)) % 3 == 2
@@ -167,12 +167,12 @@ def learn_rules(values: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: i
             return (p - n) / (p + n) if p + n else -1.0
 
         rule = Rule(tuple(conditions[: max(range(1, len(conditions) + 1), key=worth)]))
-        cover = rule.covers({k: v[left] for k, v in values.items()})
-        p, n = int((cover & bad[left]).sum()), int((cover & ~bad[left]).sum())
+        cover = rule.covers({k: v[held] for k, v in values.items()})
+        p, n = int((cover & bad[held]).sum()), int((cover & ~bad[held]).sum())
         if p < support or p < precision * (p + n):
             break
         rules.append(rule)
-        left = left[~cover]
+        left = left[~rule.covers({k: v[left] for k, v in values.items()})]
     return rules
 
 

@@ -89,6 +89,12 @@ def test_learned_rules():
     assert learn_rules(values, np.zeros(n, dtype=bool)) == [] and learn_rules(values, np.ones(n, dtype=bool)) == []
 
 
+def test_rules_need_support_where_they_were_not_grown():
+    values, bad = {"words": np.arange(90.0)}, np.isin(np.arange(90), (30, 31, 33, 34))  # none in the third held out
+    assert learn_rules({"words": np.where(bad, 500, values["words"])}, bad) == []
+    assert len(learn_rules(values, values["words"] >= 61)) == 1
+
+
 def test_rules_as_expressions_and_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
