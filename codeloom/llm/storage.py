@@ -1,66 +1,5 @@
-"""Shared scratch storage.
+"""Scratch storage of these operators: that of the whole library."""
 
-Everything a job leaves between stages goes below one folder that the driver and all executors
-share: ``spark.checkpoint.dir`` of the session.  Only where that setting is empty (unit tests, a
-laptop) a temporary folder of this machine is used instead.
-"""
+from ..storage import clean, open_input, persisted, scratch, shared_root, write_file
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="codeloom-")
-            spark.sparkContext.setCheckpointDir(_OWN[app])
-        root = _OWN[app]
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder below the shared root."""
-    return f"{shared_root(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
-
-
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared root and reads it again: later stages start from the files."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
-
-
-def write_file(uri: str, write) -> None:
-    """write(stream) fills a temporary name that then takes its place at once: readers never see half a file."""
-    fs, path = _open(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
-        write(out)
-    fs.move(part, path)
-
-
-def open_input(uri: str):
-    """A seekable stream of a file below the shared root."""
-    fs, path = _open(uri)
-    return fs.open_input_file(path)
+__all__ = ["clean", "open_input", "persisted", "scratch", "shared_root", "write_file"]

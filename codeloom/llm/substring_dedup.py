@@ -6,8 +6,9 @@ and j there is then a k < p with i + k and j + k both at residues of D.  So two
 an anchor, a shorter window of width - p + 1 words that begins at a place whose residue is in D in
 both documents, at the same distance.  Only anchors are hashed and counted across the corpus (a
 third of all places, with period 13); where an anchor occurs again, the match is extended to the
-windows around it: those that hold a recurring anchor are compared by hashes of all their words (96
-bits), and of equal windows the first, by document id and place, stays.
+windows around it: those that hold a recurring anchor are compared by two independent hashes of all
+their words (128 bits, within a block as across blocks), and of equal windows the first, by
+document id and place, stays.
 
 Each distinct text takes part once: every window of a later copy begins earlier in the first one.
 Blocks send packed fingerprints, one for each distinct anchor or window in them, and get one answer
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import CENSUS, NO_ID, Blocks, answers_in_order, census, pack, part_rows, part_tasks, read_block, unpack, unpack_sorted
+from .blocks import CENSUS, NO_ID, Blocks, answers_in_order, part_rows, read_block, totals
 from .storage import persisted
 from .wordscan import NOT_BLANK, Words, scan, slices, window_hashes
 
@@ -91,7 +92,7 @@ class _Scan:
 
 def _recurring(scanned: _Scan, answers: pa.Table) -> np.ndarray:
     keys, _ = scanned.anchor_census()
-    return keys[answers_in_order(answers, "counts") > 1] if len(keys) else keys
+    return keys[answers_in_order(answers) > 1] if len(keys) else keys
 
 
 def _windows(scanned: _Scan, again: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -102,28 +103,28 @@ def _windows(scanned: _Scan, again: np.ndarray) -> tuple[list[np.ndarray], np.nd
         places.append(at)
         if len(at):
             first.append(window_hashes(words.hashes, scanned.width)[at])
-            second.append((window_hashes(words.hashes, scanned.width, second=True)[at] >> np.uint64(32)).astype(np.uint32))
+            second.append(window_hashes(words.hashes, scanned.width, second=True)[at])
             rows.append(words.text_of()[at] + base)
         base += part.num_rows
     if not first:
-        return places, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        return places, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return places, np.concatenate(first), np.concatenate(second), np.concatenate(rows)
 
 
-def _first_ones(sent: DataFrame, parts: int) -> DataFrame:
-    """For each block's distinct windows, whether its document is the first of all that hold the window."""
+def _distinct(key: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The first place of each different window (by both hashes), in the order of the hashes."""
+    order = np.lexsort((np.arange(len(key)), second, key))
+    k, s = key[order], second[order]
+    return order[np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]] if len(key) else order
 
-    def choose(group: pa.Table) -> pa.Table:
-        keys = [unpack_sorted(x) for x in group["keys"].to_pylist()]
-        key, second, doc, tie = np.concatenate(keys), *(np.concatenate([unpack(x) for x in group[c].to_pylist()]) for c in ("second", "doc", "tie"))
-        order = np.lexsort((tie, doc, second, key))
-        same = (key[order[1:]] == key[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
-        first = np.zeros(len(key), dtype=np.uint8)
-        first[order[np.r_[True, ~same]]] = 1
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        return group.select(["part", "block"]).append_column("counts", pa.array([pack(x) for x in np.split(first, ends)], pa.binary()))
 
-    return sent.repartition(part_tasks(parts), "part").groupBy("part").applyInArrow(choose, "part int, block string, counts binary")
+def _first_ones(keys: np.ndarray, second: np.ndarray, doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """For each block's distinct windows, whether its document is the first of all that hold the window."""
+    order = np.lexsort((tie, doc, second, keys))
+    same = (keys[order[1:]] == keys[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+    first = np.zeros(len(keys), dtype=np.uint8)
+    first[order[np.r_[True, ~same]]] = 1
+    return first
 
 
 def _joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,32 +169,33 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     in the same one.  Windows are judged on the input.  Words are longest runs without blanks, as
     they are.  Null and empty texts have no words; shorter texts than a window keep all.  A null id
     is smaller than any other.  Rows of one id are told apart by their text's MD5, and of rows equal
-    in both one is the first; so the rows returned are the same in every run.  No rows: no rows.
+    in both one is the first; so the rows returned are the same in every run.  Ids are cast to long;
+    what can't be fails.  Very long texts stand alone in a block and are scanned whole, in about 20
+    bytes of memory for each of theirs.  Other columns aren't read.  No rows: no rows.
     """
     blocks = Blocks(docs, id_col, text_col)
-    parts = blocks.parts
+    parts = blocks.coarse
     repeated_ids = bool(blocks.manifest.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").head(1))
 
-    def send_anchors(block: str, skip: list[int] | None) -> Iterator[pa.RecordBatch]:
+    def send_anchors(no: int, block: str, skip: list[int] | None) -> Iterator[pa.RecordBatch]:
         keys, counts = _Scan(block, skip, width).anchor_census()
         if len(keys):
-            yield part_rows(block, keys, _BITS, parts, counts=counts.astype(np.uint32))
+            yield part_rows(no, keys, _BITS, parts, counts=counts.astype(np.uint32))
 
-    def send_windows(block: str, skip: list[int] | None, answers: pa.Table) -> pa.Table:
+    def send_windows(no: int, block: str, skip: list[int] | None, answers: pa.Table) -> pa.Table:
         scanned = _Scan(block, skip, width)
         _, key, second, row = _windows(scanned, _recurring(scanned, answers))
-        key, at = np.unique(key, return_index=True)  # the first of each: documents and places are in order
+        at = _distinct(key, second)  # the first of each: documents and places are in order
         doc = scanned.table["doc_id"].to_numpy().view(np.uint64)[row[at]] ^ np.uint64(1 << 63)
-        tie = np.array([int.from_bytes(k[:4], "big") for k in scanned.table["key"].to_pylist()] if repeated_ids else np.zeros(scanned.table.num_rows), dtype=np.uint32)[row[at]]
-        return pa.Table.from_batches([part_rows(block, key, 64, parts, second=second[at], doc=doc, tie=tie)])
+        tie = np.array([int.from_bytes(k[:8], "big") for k in scanned.table["key"].to_pylist()] if repeated_ids else np.zeros(scanned.table.num_rows), dtype=np.uint64)[row[at]]
+        return pa.Table.from_batches([part_rows(no, key[at], 64, parts, second=second[at], doc=doc, tie=tie)])
 
-    def finish(block: str, skip: list[int] | None, answers: pa.Table) -> pa.Table:
+    def finish(no: int, block: str, skip: list[int] | None, answers: pa.Table) -> pa.Table:
         scanned = _Scan(block, skip, width)
         kind = answers["kind"].to_numpy()
         places, key, second, row = _windows(scanned, _recurring(scanned, answers.filter(pa.array(kind == 0))))
-        _, at = np.unique(key, return_index=True)
         again = np.ones(len(key), dtype=bool)
-        again[at[answers_in_order(answers.filter(pa.array(kind == 1)), "counts") == 1]] = False
+        again[_distinct(key, second)[answers_in_order(answers.filter(pa.array(kind == 1))) == 1]] = False
         out, base = [], 0
         for (part, words), at in zip(scanned.parts(), places, strict=True):
             cover = np.zeros(len(words.hashes) + 1, dtype=np.int64)
@@ -208,9 +210,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append(_result(part, words, np.repeat(words.counts >= width, words.counts), spans))
         return pa.concat_tables([_RESULT.empty_table(), *out])
 
-    anchors = persisted(census(blocks.map(send_anchors, CENSUS), parts), "anchors")
-    windows = blocks.map_with(anchors, send_windows, "part int, block string, keys binary, second binary, doc binary, tie binary")
-    first = persisted(_first_ones(windows, parts), "windows")
+    anchors = persisted(blocks.exchange(blocks.map(send_anchors, CENSUS), _BITS, ("counts",), totals), "anchors")
+    windows = blocks.map_with(anchors, send_windows, "part int, no long, keys binary, second binary, doc binary, tie binary")
+    first = persisted(blocks.exchange(windows, 64, ("second", "doc", "tie"), _first_ones), "windows")
     answers = anchors.withColumn("kind", F.lit(0)).unionByName(first.withColumn("kind", F.lit(1)))
     done = blocks.map_with(answers, finish, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))

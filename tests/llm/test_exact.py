@@ -35,23 +35,22 @@ def test_similar_groups_in_small_blocks(make_docs, monkeypatch):
 
 
 def test_prefixes_meet():
-    """Any two sets as similar as asked share l shingles of their prefixes, for every l."""
-    import random
-
-    import numpy as np
-
+    """Any two sets as similar as asked share l shingles of their prefixes, for every l; and of what they post the smaller of their own."""
     r = random.Random(3)
-    for _ in range(300):
+    chosen = set()
+    for _ in range(600):
         base = r.sample(range(1000), r.randrange(1, 40))
         a, b = (np.unique(np.array([x if r.random() > 0.08 else r.randrange(1000) for x in base], dtype=np.uint64)) for _ in range(2))
-        count = {int(x): int(x) % 5 + 2 for x in (*a, *b)}
+        count = {int(x): int(x) % 5 * r.choice((1, 40)) + 2 for x in (*a, *b)}
         common = len(set(a.tolist()) & set(b.tolist()))
         if 100 * common < 80 * (len(a) + len(b) - common):
             continue
-        pa, pb = (prefix(s, np.array([count[int(x)] for x in s]), 80) for s in (a, b))
+        (ta, na, la), (tb, nb, lb) = (prefix(s, np.array([count[int(x)] for x in s]), 80) for s in (a, b))
+        chosen |= {la, lb}
         for m in range(1, jaccard.LONGEST + 1):
-            shared = set(pa[0][pa[1] <= m].tolist()) & set(pb[0][pb[1] <= m].tolist())
-            assert len(shared) >= min(m, common)
+            assert len({*ta[: na + m - 1].tolist()} & {*tb[: nb + m - 1].tolist()}) >= min(m, common)
+        assert len({*ta[: na + la - 1].tolist()} & {*tb[: nb + lb - 1].tolist()}) >= min(la, lb)
+    assert len(chosen) > 1
 
 
 @pytest.mark.parametrize("percent", [1, 34, 50, 60, 66, 67, 80, 90, 100])
@@ -64,9 +63,59 @@ def test_prefixes_ask_for_no_more_than_pairs_share(percent):
                     continue
                 a = np.arange(n, dtype=np.uint64)
                 b = np.r_[a[:common], np.arange(100, 100 + m - common)].astype(np.uint64)
-                (x, at_x, l_x), (y, at_y, l_y) = (prefix(s, np.full(len(s), 5), percent) for s in (a, b))
+                (x, n_x, l_x), (y, n_y, l_y) = (prefix(s, np.full(len(s), 5), percent) for s in (a, b))
                 most = max(l_x, l_y)
-                assert len({*x[at_x <= most].tolist()} & {*y[at_y <= most].tolist()}) >= most, (n, m, common)
+                assert len({*x[: n_x + most - 1].tolist()} & {*y[: n_y + most - 1].tolist()}) >= most, (n, m, common)
+
+
+def test_candidates_share_enough(make_docs, monkeypatch):
+    """What is compared in full: pairs whose prefixes of the larger l share that many shingles, fewer than the pairs that met in a list."""
+    seen, real = [], jaccard.candidates
+
+    def kept(met, nodes):
+        found = real(met, nodes)
+        seen.append(({tuple(sorted(r)) for r in met.collect()}, {tuple(sorted(r)) for r in found.collect()}, {r.node: r for r in nodes.collect()}))
+        return found
+
+    monkeypatch.setattr(jaccard, "candidates", kept)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 4)
+    # long texts, so that the parities tell little: twins share 600 rare words, any others one
+    docs = []
+    for i in range(12):
+        rare = [f"pair{min(i, j)}_{max(i, j)}" for j in range(12) if j // 2 != i // 2] + [f"twin{i // 2}_{k}" for k in range(600)]
+        docs.append((i, " ".join([*rare, *(f"common{k}" for k in range(1400))])))
+    got = [tuple(x) for x in similar_groups(make_docs(docs), width=1, percent=70).collect()]
+    assert order(got) == order(groups(docs, 1, 70)) and [len({r[2] for r in got})] == [6]
+    met, compared = set().union(*(m for m, _, _ in seen)), set().union(*(c for _, c, _ in seen))
+    nodes = seen[-1][2]
+    assert max(x.ell for x in nodes.values()) > 1 and all(len(x.tokens) <= x.base + jaccard.LONGEST - 1 for x in nodes.values())
+    for a, b in met:
+        x, y = nodes[a], nodes[b]
+        most = max(x.ell, y.ell)
+        shared = len({*x.tokens[: x.base + most - 1]} & {*y.tokens[: y.base + most - 1]})
+        assert ((a, b) in compared) == (shared >= most)
+    assert len(compared) < len(met)
+
+
+@pytest.mark.parametrize("parts", [64, 1024, 4096, 131_072])
+def test_what_a_block_sends_does_not_grow_with_the_parts(parts):
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 200_000, dtype=np.uint64))
+    sent = blocks.part_rows(7, keys, 48, blocks.levels(parts)[0], counts=np.ones(len(keys), dtype=np.uint32))
+    assert sent.num_rows <= blocks.COARSE and sent.nbytes < 6 * len(keys)
+    assert np.concatenate([blocks.unpack_sorted(x) for x in sent["keys"].to_pylist()]).tolist() == keys.tolist()
+
+
+def test_finer_parts(make_docs, monkeypatch):
+    """Two hops of the exchange give the same rows as one."""
+    for name, value in (("BLOCK_BYTES", 4000), ("PART_BYTES", 1500), ("COARSE", 4), ("BUNDLE", 3)):
+        monkeypatch.setattr(blocks, name, value)
+    docs = sample_docs(seed=12, vocabulary=40)
+    got = [tuple(r) for r in similar_groups(make_docs(docs), width=3, percent=80).collect()]
+    assert order(got) == order(groups(docs, 3, 80))
+    removed = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(make_docs(docs), width=12).collect()]
+    assert order(removed) == order(without_repeats(docs, 12))
+
+
 
 
 def test_drop_similar(make_docs):
