@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import ctypes
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from ..naming import fresh
 
-def fresh(name: str, taken: Iterable[str]) -> str:
-    """name, with underscores behind it until no taken column has it (column names ignore case)."""
-    taken = {c.lower() for c in taken}
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["fresh", "held", "release", "table", "tokenizer_file", "with_arrow"]
+
+
+def with_arrow(docs: DataFrame, text_col: str, fn: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], added: list[T.StructField]) -> DataFrame:
+    """docs with more columns, made by mapInArrow; fn gets batches and the place of the text column.  Names of docs may have dots."""
+    names, at = docs.columns, docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added))])
+    return plain.mapInArrow(lambda batches: fn(batches, at), schema).toDF(*names, *(f.name for f in added))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

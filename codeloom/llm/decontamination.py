@@ -1,30 +1,39 @@
 """Benchmark decontamination by an FM-index for each shard of the training texts.
 
 Benchmark texts become phrases: all windows of ``width`` words, or the whole text where it has
-fewer.  Phrases are written in blocks of bounded size below the shared folder; a task holds one
-block at a time.  Each task cuts its documents into shards of a few MB, indexes a shard's words
-(words that no phrase of the block has only separate runs, as no occurrence can contain them, and
-runs shorter than the shortest phrase can't hold one), finds all phrases by backward search, locates
-each occurrence and merges the covered words into spans.  No shuffle; nothing goes to the driver
-but the names of the blocks.
+fewer.  Phrases are prepared once, in blocks of bounded size, and written below the shared folder; a
+task holds one block at a time.  Each task cuts its documents into shards of a few MB and indexes all
+words of a shard (a separator behind each text); all blocks' phrases are then found in it by
+backward search, each occurrence is located from sampled suffix positions, and the covered words are
+merged into spans.  With several blocks, a task indexes some tens of MB before it goes through the
+blocks, so that a block is read once for all of those.  No shuffle; nothing goes to the driver but
+the names of the blocks.
 """
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, held
+from ..naming import exactly
+from .common import fresh, held, with_arrow
 from .fm_index import FMIndex
 from .storage import open_input, scratch, write_file
 from .wordscan import LETTERS_DIGITS, scan, slices
 
+#: Text of one shard, and of the shards that a task holds while it goes through several blocks of phrases.
+SHARD_BYTES = 2 << 20
+GROUP_BYTES = 32 << 20
+
 FOUND = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -37,140 +46,144 @@ _ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item
 
 
 class Phrases:
-    """One block of the benchmark: its vocabulary, its distinct phrases, and the items of each phrase."""
+    """One block of the benchmark: its vocabulary (hashes, ascending), its distinct phrases (places in the vocabulary, filled up with its size), and the items of each."""
+
+    def __init__(self, vocabulary: np.ndarray, patterns: np.ndarray, lengths: np.ndarray, items: np.ndarray, ids: np.ndarray):
+        self.vocabulary, self.patterns, self.lengths, self.items = vocabulary, patterns, lengths, items
+        self.ids = np.array(json.loads(ids.tobytes()), dtype=object)
+        self.begin = np.searchsorted(items[:, 0], np.arange(len(patterns) + 1))
 
-    def __init__(self, ids: list[str], texts: pa.Array, width: int):
+    @staticmethod
+    def prepare(ids: list[str], texts: pa.Array, width: int) -> bytes:
         words = scan(texts, LETTERS_DIGITS, True)
-        self.ids = np.array(ids, dtype=object)
-        self.vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        rows, items, lengths = [], [], []
+        vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
+        rows, items = [np.zeros((0, width), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
             m = min(width, b - a)
-            if not m:
-                continue
-            found = np.lib.stride_tricks.sliding_window_view(symbols[a:b] + 1, m)
-            rows.append(np.pad(found, ((0, 0), (0, width - m))))
-            items.append(np.full(len(found), i))
-            lengths.append(np.full(len(found), m))
-        if not rows:
-            self.patterns, self.lengths, self.items = np.zeros((0, width), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
-            return
-        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        self.lengths = np.count_nonzero(self.patterns, axis=1)
-        self.items = np.unique(np.stack([of.ravel(), np.concatenate(items)], axis=1), axis=0)
-        self.begin = np.searchsorted(self.items[:, 0], np.arange(len(self.patterns) + 1))
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """1 and more for words of the vocabulary, 0 for others."""
-        out = np.zeros(len(hashes), dtype=np.int64)
-        likely = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.searchsorted(self.vocabulary, hashes[likely])
-        at[at == len(self.vocabulary)] = 0
-        same = self.vocabulary[at] == hashes[likely]
-        out[likely[same]] = at[same] + 1
-        return out
-
-    def occurrences(self, hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word places and phrase numbers of all occurrences inside the texts."""
-        none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        if not len(self.patterns) or not len(hashes):
-            return none
-        symbols = self.symbols(hashes)
-        known = symbols > 0
-        begins, ends = known.copy(), known.copy()
-        other = text_of[1:] != text_of[:-1]
-        begins[1:] &= ~known[:-1] | other
-        ends[:-1] &= ~known[1:] | other
-        begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        long = end - begin >= self.lengths.min()
-        begin, end = begin[long], end[long]
-        if not len(begin):
-            return none
-        size = end - begin + 1
-        run = np.repeat(np.arange(len(size)), size)
-        place = begin[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-        behind = place == end[run]
-        sequence = np.where(behind, 0, symbols[np.minimum(place, len(symbols) - 1)])
-        index = FMIndex(sequence, len(self.vocabulary) + 1)
-        low, high = index.search(self.patterns, self.lengths)
-        count = np.maximum(high - low, 0)
-        phrase = np.repeat(np.arange(len(count)), count)
-        rows = low[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-        return place[index.locate(rows)], phrase
+            if m:
+                found = np.lib.stride_tricks.sliding_window_view(symbols[a:b].astype(np.int32), m)
+                rows.append(np.pad(found, ((0, 0), (0, width - m)), constant_values=len(vocabulary)))
+                items.append(np.full(len(found), i))
+        patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        out = io.BytesIO()
+        np.savez(
+            out,
+            vocabulary=vocabulary,
+            patterns=patterns,
+            lengths=np.count_nonzero(patterns < len(vocabulary), axis=1),
+            items=np.unique(np.stack([of.ravel(), np.concatenate(items)], axis=1), axis=0),
+            ids=np.frombuffer(json.dumps(ids).encode(), dtype=np.uint8),
+        )
+        return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+
+    @classmethod
+    def read(cls, path: str) -> Phrases:
+        with open_input(path) as f:
+            return cls(**np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(f.read()))))
 
 
-def write_phrases(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = 8 << 20) -> list[str]:
-    """Blocks of the benchmark's rows below the shared folder, of about block_bytes of text each (a longer text stands alone)."""
+class Shard:
+    """The index of some texts' words, and what has been found in them."""
+
+    def __init__(self, texts: pa.Array):
+        words = scan(texts, LETTERS_DIGITS, True)
+        self.first, n = words.first, len(words.first) - 1
+        self.vocabulary, symbols = np.unique(words.hashes, return_inverse=True)
+        sequence = np.zeros(len(symbols) + n, dtype=np.int64)
+        text_of = words.text_of()
+        sequence[np.arange(len(symbols)) + text_of] = symbols + 1
+        self.index = FMIndex(sequence, len(self.vocabulary) + 1) if len(symbols) else None
+        self.ends = words.first[1:] + np.arange(1, n + 1)  # behind each text's separator
+        self.cover, self.items = np.zeros(len(symbols) + 1, dtype=np.int32), [[] for _ in range(n)]
+
+    def search(self, p: Phrases) -> None:
+        if self.index is None or not len(p.patterns):
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, p.vocabulary), len(self.vocabulary) - 1)
+        known = np.r_[self.vocabulary[at] == p.vocabulary, True]
+        live = np.arange(len(p.patterns))
+        for column in p.patterns.T:  # phrases of words that the shard has, all of them
+            live = live[known[column[live]]]
+        symbols = np.r_[at + 1, 0]
+        low, high = self.index.search(symbols[p.patterns[live]], p.lengths[live])
+        count = np.maximum(high - low, 0)
+        nth = np.repeat(np.arange(len(count)), count)
+        place = self.index.locate(low[nth] + np.arange(len(nth)) - np.repeat(np.cumsum(count) - count, count))
+        text, phrase = np.searchsorted(self.ends, place, side="right"), live[nth]
+        word = place - text
+        np.add.at(self.cover, word, 1)
+        np.add.at(self.cover, word + p.lengths[phrase], -1)
+        for t, k in zip(*np.divmod(np.unique(text * len(p.patterns) + phrase), len(p.patterns)), strict=True):
+            self.items[t].extend(p.ids[p.items[p.begin[k] : p.begin[k + 1], 1]])
+
+    def found(self) -> pa.Array:
+        first = self.first
+        hit = np.cumsum(self.cover[:-1]) > 0
+        hits = np.r_[0, np.cumsum(hit)]
+        change = np.flatnonzero(np.diff(np.r_[False, hit, False]))
+        spans: list[list] = [[] for _ in self.items]
+        for a, b in zip(change[::2], change[1::2], strict=True):
+            t = int(np.searchsorted(first, a, side="right")) - 1
+            while a < b:  # a run of hit words may go on in the next text
+                stop = min(b, first[t + 1])
+                if a < stop:
+                    spans[t].append({"start": int(a - first[t]), "end": int(stop - first[t])})
+                a, t = stop, t + 1
+        return pa.StructArray.from_arrays(
+            [pa.array(np.diff(first), pa.int64()), pa.array(hits[first[1:]] - hits[first[:-1]], pa.int64()), pa.array([sorted(set(x)) for x in self.items], pa.list_(pa.string())), pa.array(spans, _ARROW_FOUND.field("spans").type)],
+            fields=list(_ARROW_FOUND),
+        )
+
+
+def write_phrases(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int = 8 << 20) -> list[str]:
+    """Blocks of the benchmark's phrases below the shared folder, of about block_bytes of text each (a longer text stands alone)."""
     root = scratch(benchmark.sparkSession, "phrases")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         for batch in batches:
             for part in slices(batch, "text", block_bytes):
-                path = f"{root}/{uuid.uuid4().hex}.parquet"
-                write_file(path, lambda out, part=part: pq.write_table(pa.Table.from_batches([part]), out, compression="zstd"))
+                path = f"{root}/{uuid.uuid4().hex}.phrases"
+                data = Phrases.prepare(part.column(0).to_pylist(), part.column(1), width)
+                write_file(path, lambda out, data=data: out.write(data))
                 yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = benchmark.select(F.coalesce(exactly(id_col).cast("string"), F.lit("")).alias("id"), exactly(text_col).cast("string").alias("text"))
     return sorted(r.path for r in rows.coalesce(8).mapInArrow(write, "path string").collect())
 
 
-def _phrases(path: str, width: int) -> Phrases:
-    def read() -> Phrases:
-        with open_input(path) as f:
-            t = pq.read_table(f)
-        return Phrases(t["id"].to_pylist(), t["text"], width)
-
-    return held(("phrases", path, width), read)
-
-
-def _found(texts: pa.Array, paths: list[str], width: int) -> pa.Array:
-    words = scan(texts, LETTERS_DIGITS, True)
-    text_of, n = words.text_of(), len(words.first) - 1
-    cover, items = np.zeros(len(words.hashes) + 1, dtype=np.int64), [[] for _ in range(n)]
-    for path in paths:
-        p = _phrases(path, width)
-        place, phrase = p.occurrences(words.hashes, text_of)
-        np.add.at(cover, place, 1)
-        np.add.at(cover, place + p.lengths[phrase], -1)
-        pairs = np.unique(text_of[place] * len(p.patterns) + phrase) if len(place) else place
-        for text, k in zip(*np.divmod(pairs, max(1, len(p.patterns))), strict=True):
-            items[text].extend(p.ids[p.items[p.begin[k] : p.begin[k + 1], 1]])
-    hit = np.cumsum(cover[:-1]) > 0
-    hits = np.r_[0, np.cumsum(hit)]
-    change = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-    spans: list[list] = [[] for _ in range(n)]
-    for a, b in zip(change[::2], change[1::2], strict=True):
-        while a < b:  # a run of hit words may go on in the next text
-            t = text_of[a]
-            stop = min(b, words.first[t + 1])
-            spans[t].append({"start": int(a - words.first[t]), "end": int(stop - words.first[t])})
-            a = stop
-    return pa.StructArray.from_arrays(
-        [pa.array(words.counts, pa.int64()), pa.array(hits[words.first[1:]] - hits[words.first[:-1]], pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, _ARROW_FOUND.field("spans").type)],
-        fields=list(_ARROW_FOUND),
-    )
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, into: str = "found") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, into: str = "found", block_bytes: int = 8 << 20) -> DataFrame:
     """docs with one more column, the struct FOUND: number of words, words inside phrases, ids of the items found, and merged spans of words to remove.
 
     Words are longest runs of letters, digits and bytes from 0x80 on, A-Z lower-cased.  Null and
     empty texts have no words and no hits; benchmark texts without words have no phrases; an item
     without an id counts as the id ''; repeated items or ids count once; repeated documents are
-    judged one by one.  With an empty benchmark nothing is hit.  If docs has a column named as
-    ``into``, underscores are added to the new column's name, which is always the last.
+    judged one by one.  A text longer than a shard is a shard of its own, indexed whole (about 60
+    bytes a word while it is built).  With an empty benchmark nothing is hit.  If docs has a column
+    named as ``into``, underscores are added to the new column's name, which is always the last.
     """
     into = fresh(into, docs.columns)
-    paths = write_phrases(benchmark, item_id, item_text)
+    paths = write_phrases(benchmark, item_id, item_text, width, block_bytes)
+    together = GROUP_BYTES if len(paths) > 1 else 1
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                found = _found(part.column(part.schema.get_field_index(text_col)), paths, width)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, into])
+    def find(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[pa.RecordBatch, Shard]] = []
+        size = 0
 
-    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField(into, FOUND)]))
+        def done() -> Iterator[pa.RecordBatch]:
+            for path in paths:
+                phrases = held(("phrases", path), lambda path=path: Phrases.read(path))
+                for _, shard in waiting:
+                    shard.search(phrases)
+            for part, shard in waiting:
+                yield pa.RecordBatch.from_arrays([*part.columns, shard.found()], names=[*part.schema.names, "a0"])
+
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at], SHARD_BYTES):
+                waiting.append((part, Shard(part.column(at))))
+                size += part.column(at).nbytes
+                if size >= together:
+                    yield from done()
+                    waiting, size = [], 0
+        yield from done()
+
+    return with_arrow(docs, text_col, find, [T.StructField(into, FOUND)])

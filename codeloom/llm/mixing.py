@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..naming import exactly
 from .common import fresh
 from .storage import persisted
 
@@ -96,13 +97,13 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(exactly(text_col).cast("string"), F.lit(""))
     return [
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("key"),
-        F.col(source_col).alias("source"),
+        exactly(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.concat(F.lit("s"), exactly(source_col)), F.lit("n")).alias("key"),
+        exactly(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).isNull(), text).alias("h"),
+        F.xxhash64(F.lit(seed), exactly(id_col).cast("long"), exactly(text_col).isNull(), text).alias("h"),
     ]
 
 
@@ -112,7 +113,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have size 0 and are taken as often as whole passes are; a null source is a
     source of its own.  Documents that agree in id, text and source are interchangeable; ties of the
     hash are otherwise settled by the id.  Whole passes that a budget holds take every document
-    once each; so none is taken more than ``most`` times.  Reruns agree.  An empty table gives no rows.
+    once each; so none is taken more than ``most`` times.  Very long texts count whole, as one of their
+    length; ids are cast to long, and what can't be fails.  Reruns agree.  An empty table gives no rows.
     """
     rows = persisted(docs.select(*_keyed(docs, id_col, text_col, source_col, seed)).withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)).cast("int")), "mix-rows")
     counts = persisted(rows.groupBy("key", "source", "size", "bucket").agg(F.count("*").alias("n")), "mix-counts")
@@ -145,4 +147,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     for k in (*same, "rank"):
         on = on & left[names[k]].eqNullSafe(r[f"{names[k]}_r"])
     joined = left.join(r, on)
-    return joined.select(*(left[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(f"{names['copies']}_r").cast("int"))).alias(names["copies"])).drop(names["copies"])
+    return joined.select(*(exactly(c) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(f"{names['copies']}_r").cast("int"))).alias(names["copies"])).drop(names["copies"])

@@ -10,7 +10,8 @@ the other.  With cost(u) the count of unit u,
 
 which gives the count the library would return for text[:i], for every i, from a table of units'
 prefixes; truncation to a budget reads that array and encodes nothing again.  The count of a whole
-text and whether it is over a limit are read from the counts at the ends of units.
+text, whether it is over a limit, and where the limit cuts it are read from the array, too: from its
+entries at the ends of units, and from those inside of the one unit that the limit falls in.
 Whether the tokenizer has the property is tested when it is loaded; without it, whole texts are encoded.
 
 Inside of a unit the counts are by dynamic programming, too.  Merges go by the score of what they
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, held, tokenizer_file
+from .common import fresh, held, tokenizer_file, with_arrow
 
 MARK = "▁"
 _UNIT = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
@@ -167,45 +168,72 @@ class PrefixCounter:
         out[1] = 0  # the space in front alone: no text, no token
         return out[1:]
 
+    def cut(self, text: str, budget: int, running: np.ndarray | None = None) -> int:
+        """Characters of the longest prefix of at most budget tokens.  Of the array of prefix counts only the entries inside the unit that the budget falls in are worked out."""
+        if budget < 0:
+            return 0
+        if not self.units_stand_alone:
+            return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
+        running = self.running_counts([text])[0] if running is None else running
+        if not len(running) or running[-1] <= budget:
+            return len(text)
+        units = self._units(text)
+        k = int(np.searchsorted(running, budget, side="right"))  # the first unit that doesn't fit whole
+        costs = self._unit_prefixes(units[k]) + (int(running[k - 1]) if k else 0)
+        inside = int(np.flatnonzero(costs <= budget)[-1])
+        if not k and not inside:
+            inside = 1  # the space in front alone: no text, no token
+        return sum(map(len, units[:k])) + inside - 1
+
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most budget tokens."""
-        return text[: int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])] if budget >= 0 else ""
+        return text[: self.cut(text, budget)]
 
 
 def counter(model: str) -> PrefixCounter:
     return held(("counter", model), lambda: PrefixCounter(tokenizer_file(model)))
 
 
-def count_tokens(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", into: str = "n_tokens", prefixes_into: str | None = None, budget: int | None = None, truncated_into: str = "truncated", limit: int | None = None, over_into: str = "over_limit") -> DataFrame:
-    """docs with the token count of the whole text; on request also the counts at all prefixes (array), the longest prefix within budget, and whether the text has more than limit tokens.
+def count_tokens(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", into: str = "n_tokens", prefixes_into: str | None = None, budget: int | None = None, truncated_into: str = "truncated", limit: int | None = None, over_into: str = "over_limit", cut_into: str = "limit_chars") -> DataFrame:
+    """docs with the token count of the whole text; on request also the counts at all prefixes (array), the longest prefix within budget, and whether the text has more than limit tokens and how many of its characters are within.
 
     Null and empty texts have 0 tokens (and a null truncated text for null).  No begin, end or
     added special tokens; special tokens' strings inside a text are ordinary text.  Rows are judged
-    one by one, so ties and repeated rows need no rule.  New columns come last and get underscores
-    if docs has their names.  One pass, no shuffle; memory holds one Arrow batch and a bounded table of units.
+    one by one, so ties and repeated rows need no rule.  Very long texts are counted whole, in time
+    that grows with their length, also where they are a single word.  New columns come last and get
+    underscores if docs has their names.  One pass, no shuffle; memory holds one Arrow batch and a
+    bounded table of units.
     """
-    into = fresh(into, docs.columns)
-    added = [T.StructField(into, T.LongType())]
+    taken, added = list(docs.columns), []
+
+    def add(name: str, kind: T.DataType) -> None:
+        added.append(T.StructField(fresh(name, taken), kind))
+        taken.append(added[-1].name)
+
+    add(into, T.LongType())
     if prefixes_into:
-        added.append(T.StructField(fresh(prefixes_into, [*docs.columns, into]), T.ArrayType(T.IntegerType())))
+        add(prefixes_into, T.ArrayType(T.IntegerType()))
     if budget is not None:
-        added.append(T.StructField(fresh(truncated_into, [*docs.columns, *(f.name for f in added)]), T.StringType()))
+        add(truncated_into, T.StringType())
     if limit is not None:
-        added.append(T.StructField(fresh(over_into, [*docs.columns, *(f.name for f in added)]), T.BooleanType()))
+        add(over_into, T.BooleanType())
+        add(cut_into, T.LongType())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         c = counter(model)
         for batch in batches:
-            raw = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            raw = batch.column(at).to_pylist()
             texts = [x or "" for x in raw]
             running = c.running_counts(texts)
             new = [pa.array([int(x[-1]) if len(x) else 0 for x in running], pa.int64())]
             if prefixes_into:
                 new.append(pa.array([c.prefix_counts(x) for x in texts], pa.list_(pa.int32())))
             if budget is not None:
-                new.append(pa.array([None if r is None else c.truncate(r, budget) for r in raw], pa.string()))
+                new.append(pa.array([None if r is None else r[: c.cut(r, budget, x)] for r, x in zip(raw, running, strict=True)], pa.string()))
             if limit is not None:
-                new.append(pa.array([len(x) > 0 and limit < int(x[-1]) for x in running], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in added)])
+                cuts = [c.cut(t, limit, x) for t, x in zip(texts, running, strict=True)]
+                new.append(pa.array([n < len(t) for n, t in zip(cuts, texts, strict=True)], pa.bool_()))
+                new.append(pa.array(cuts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f"a{i}" for i in range(len(new)))])
 
-    return docs.mapInArrow(count, T.StructType([*docs.schema.fields, *added]))
+    return with_arrow(docs, text_col, count, added)

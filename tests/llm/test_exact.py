@@ -10,7 +10,7 @@ from brute import contaminated, groups, order, sample_docs, shingles, without_re
 from pyspark.sql import functions as F
 
 from codeloom.llm import blocks, jaccard, wordscan
-from codeloom.llm.decontamination import find_contamination
+from codeloom.llm.decontamination import find_contamination, write_phrases
 from codeloom.llm.fm_index import FMIndex
 from codeloom.llm.jaccard import drop_similar, prefix, similar_groups
 from codeloom.llm.line_dedup import remove_repeated_chunks
@@ -165,6 +165,30 @@ def test_contamination(spark, make_docs, seed, width):
     assert order(got) == order(contaminated(docs, items, width))
 
 
+def test_contamination_by_several_blocks(spark, make_docs):
+    """Blocks of phrases of a few items each, more shards than one, and a column whose name has a dot."""
+    docs = sample_docs(seed=3, vocabulary=12)
+    items = [(i, " ".join(words(t)[:14])) for i, (_, t) in enumerate(docs[:25])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    found = find_contamination(make_docs(docs).withColumnRenamed("found", "meta.lang"), benchmark, width=5, block_bytes=500)
+    assert "meta.lang" in found.columns
+    got = [(r.doc_id, r["found"].n_words, r["found"].n_hit, list(r["found"]["items"]), [tuple(s) for s in r["found"].spans]) for r in found.collect()]
+    assert order(got) == order(contaminated(docs, items, 5))
+    assert len(write_phrases(benchmark, "item_id", "text", 5, 500)) >= 3
+
+
+def test_long_texts(spark, make_docs):
+    """A text of a million words, and a word of a million characters."""
+    r = random.Random(1)
+    long = " ".join(r.choices([f"w{i}" for i in range(5000)], k=1_000_000))
+    docs = [(1, long), (2, "x" * 1_000_000), (3, " ".join(long.split(" ")[500_000:500_030]))]
+    benchmark = spark.createDataFrame([(7, docs[2][1])], "item_id long, text string")
+    got = {x.doc_id: x["found_"] for x in find_contamination(make_docs(docs), benchmark).collect()}
+    assert [(got[i].n_words, got[i].n_hit) for i in (1, 2, 3)] == [(1_000_000, 30), (1, 0), (30, 30)]
+    removed = {x.doc_id: (x.n_words, x.n_removed) for x in remove_repeats(make_docs(docs), width=20).collect()}
+    assert removed == {1: (1_000_000, 0), 2: (1, 0), 3: (30, 30)}
+
+
 def test_contamination_without_rows(spark, make_docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(make_docs([(1, "a b"), (2, None)]), nothing).select("found_.n_hit").distinct().collect() == [(0,)]

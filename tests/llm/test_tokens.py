@@ -83,10 +83,11 @@ def test_limits_from_running_counts(make_docs):
         ends = np.cumsum([len(u) for u in c._units(text)]) - 1
         assert running.tolist() == c.prefix_counts(text)[ends].tolist() if text else len(running) == 0
     got = count_tokens(make_docs([(i, t) for i, t in enumerate(texts)] + [(1000, None)]), limit=5)
-    assert got.columns[-1] == "over_limit"
+    assert got.columns[-2:] == ["over_limit", "limit_chars"]
     for r in got.collect():
-        n = len(c.model.encode(r.text or ""))
-        assert r["n_tokens_"] == n and r.over_limit == (n > 5)
+        counts = c.prefix_counts(r.text or "")
+        assert r["n_tokens_"] == counts[-1] == len(c.model.encode(r.text or "")) and r.over_limit == (counts[-1] > 5)
+        assert r.limit_chars == np.flatnonzero(counts <= 5)[-1]
 
 
 def test_encoder_is_the_library():
