@@ -4,10 +4,14 @@ Which pages are revisits is settled first, from digests alone; payloads move at
 that list.  Each task streams its pages, in the order they come, into archives (one gzip member for
 each record).  Reading goes through each archive from front to back, checks every payload's
 digest, and spills sorted runs of index entries (URL key, timestamp, archive, offset ...) of
-bounded size.  The runs are then merged: at most FAN_IN runs at a time become a longer run, until no
-more than FAN_IN are left; these are merged in key ranges side by side, each task with a loser tree
-over the slices of the runs in its range.  Ranges follow a bounded sample of the entries; an entry's
-key ends with its place, so that one URL with a third of all captures still spreads over ranges.
+bounded size, with a sample of each run's keys.  The sample gives the bounds of final key ranges of
+about RANGE_ENTRIES entries each.  The runs are then merged in passes: FAN_IN runs become a longer
+run, until no more than FAN_IN are left, which give the result.  Every pass works in key ranges, side
+by side: FAN_IN final ranges times fewer in each earlier pass, so that a task of any pass merges
+about as many entries as another, with a loser tree over one piece of each of at most FAN_IN runs.
+A longer run is such pieces, one a range, each with an index of its own.  Runs are numbered by
+their random names, so runs of like keys don't meet in one group.  An entry's key ends with its
+place, so that one URL with a third of all captures still spreads over ranges.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..naming import exactly
 from .loser_tree import LoserTree
 from .storage import open_input, persisted, scratch, write_file
 
@@ -36,6 +41,10 @@ RUN_ENTRIES = 50_000
 FAN_IN = 64
 BLOCK_ENTRIES = 512
 RANGE_ENTRIES = 50_000
+#: Sampled keys for each range, and most of them that one task sorts.
+SAMPLES = 16
+SORTED_AT_ONCE = 1 << 20
+MOST_TASKS = 20_000
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 _MANIFEST = "path string, n_records long"
 
@@ -54,25 +63,30 @@ def url_key(url: str | None) -> str:
     return key.lower()
 
 
-def timestamp_of(page_id: int | None) -> str:
-    """Capture time.  The pages have none; each gets a second of its own, counted from 2020 by its id."""
-    return (EPOCH + timedelta(seconds=(page_id or 0) % 2_000_000_000)).strftime("%Y-%m-%dT%H:%M:%SZ")
+def timestamp_of(page_id: int | None, seconds: int | None = None) -> str:
+    """Capture time from seconds since 1970; a page without gets a second of its own, counted from 2020 by its id."""
+    at = EPOCH + timedelta(seconds=(page_id or 0) % 2_000_000_000) if seconds is None else datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=seconds)
+    return at.strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _digest(payload_col: str):
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
+def _digest(payload):
+    payload = F.coalesce(payload.cast("string"), F.lit("")).cast("binary")
     return F.when(F.octet_length(payload) >= LEAST_SHARED, F.sha2(payload, 256))
 
 
-def resolve_revisits(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """Revisits: id, digest, and the id of the page whose equal payload is kept (response).
+def _seconds(time_col: str | None):
+    return F.unix_seconds(exactly(time_col).cast("timestamp")) if time_col else F.lit(None).cast("long")
 
-    Only digests and ids move.  Of rows with equal payloads the largest id is the response (rows that
+
+def resolve_revisits(pages: DataFrame, id_col: str, payload_col: str, time_col: str | None = None) -> DataFrame:
+    """Revisits: id, digest, and the id of the page whose equal payload is kept (response) with its capture time (response_at).
+
+    Only digests, ids and times move.  Of rows with equal payloads the largest id is the response (rows that
     repeat that id are all responses).  Payloads under 1000 bytes are never shared; a null id never refers.
     """
-    digests = pages.select(F.col(id_col).cast("long").alias("id"), _digest(payload_col).alias("digest")).filter("digest is not null and id is not null")
-    shared = digests.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1")
-    return digests.join(shared, "digest").filter("id < response").select("id", "digest", "response").distinct()
+    digests = pages.select(exactly(id_col).cast("long").alias("id"), _digest(exactly(payload_col)).alias("digest"), _seconds(time_col).alias("at")).filter("digest is not null and id is not null")
+    shared = digests.groupBy("digest").agg(F.max(F.struct(F.col("id").alias("response"), F.col("at").alias("response_at"))).alias("kept"), F.count("*").alias("n")).filter("n > 1").select("digest", "kept.*")
+    return digests.join(shared, "digest").filter("id < response").select("id", "digest", "response", "response_at").distinct()
 
 
 class ArchiveWriter:
@@ -81,7 +95,7 @@ class ArchiveWriter:
     def __init__(self, out):
         self.out, self.at, self.n = out, 0, 0
 
-    def add(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> None:
+    def add(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, at: int | None = None, refers_at: int | None = None) -> None:
         digest = b32encode(hashlib.sha1(payload).digest()).decode()
         http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode()
         block = http if refers_to is not None else http + payload
@@ -90,14 +104,14 @@ class ArchiveWriter:
             "WARC/1.1",
             f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {_record_id(page_id, digest)}",
-            f"WARC-Date: {timestamp_of(page_id)}",
+            f"WARC-Date: {timestamp_of(page_id, at)}",
             *([f"WARC-Target-URI: {_header(url)}"] if url else []),
             f"WARC-Payload-Digest: sha1:{digest}",
             f"WARC-Page-ID: {name}",
             f"WARC-Payload-Length: {len(payload)}",
         ]
         if refers_to is not None:
-            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {timestamp_of(refers_to)}", "WARC-Truncated: length"]
+            head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {timestamp_of(refers_to, refers_at)}", "WARC-Truncated: length"]
         head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
         data = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
         member = gzip.compress(data, compresslevel=4, mtime=0)
@@ -152,18 +166,21 @@ def read_archive(source) -> Iterator[dict]:
         yield {"head": head, "at": at, "size": size, "payload": payload, "digest": digest.hex()}
 
 
-def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None) -> DataFrame:
     """Writes archives below the shared folder; returns their manifest (path, n_records).
 
-    A null or empty page has an empty payload; a null URL has no target; a null id is written as null.
+    A null or empty page has an empty payload; a null URL has no target; a null id is written as
+    null.  time_col is the capture time; without it, or where it is null, timestamp_of gives one.
+    Repeated rows are records of their own.  Very long payloads are written whole, one in memory at a
+    time; ids are cast to long, and what can't be fails.  Other columns aren't read.
     """
     root = scratch(pages.sparkSession, "warc")
-    revisits = resolve_revisits(pages, id_col, payload_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", _digest("payload")).join(revisits, ["id", "digest"], "left").select("id", "url", "payload", F.col("response").alias("refers_to"))
+    revisits = resolve_revisits(pages, id_col, payload_col, time_col)
+    rows = pages.select(exactly(id_col).cast("long").alias("id"), exactly(url_col).cast("string").alias("url"), F.coalesce(exactly(payload_col).cast("string"), F.lit("")).alias("payload"), _seconds(time_col).alias("at"))
+    rows = rows.withColumn("digest", _digest(F.col("payload"))).join(revisits, ["id", "digest"], "left").select("id", "url", "payload", F.col("response").alias("refers_to"), "at", "response_at")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = (r for b in batches for r in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["payload"], b["refers_to"].to_pylist(), strict=True))
+        waiting = (r for b in batches for r in zip(b["id"].to_pylist(), b["url"].to_pylist(), b["payload"], *(b[c].to_pylist() for c in ("refers_to", "at", "response_at")), strict=True))
         row = next(waiting, None)
         while row is not None:
             path, count = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
@@ -172,7 +189,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
                 nonlocal row, count
                 w = ArchiveWriter(out)
                 while row is not None and w.at < ARCHIVE_BYTES:
-                    w.add(row[0], row[1], row[2].as_buffer().to_pybytes(), row[3])
+                    w.add(row[0], row[1], row[2].as_buffer().to_pybytes(), *row[3:])
                     row = next(waiting, None)
                 count = w.n
 
@@ -189,8 +206,8 @@ def _entry(path: str, r: dict) -> tuple:
     return (url_key(head.get("warc-target-uri")), head["warc-date"], path, r["at"], (json.loads(head["warc-page-id"]), r["size"], int(head["warc-payload-length"]), r["digest"], head["warc-type"], None if refers is None else int(refers)))
 
 
-def _write_run(path: str, entries: Iterator[tuple]) -> tuple[int, list[str]]:
-    """A run: compressed blocks of JSON lines, an index of each block's first key and place, and the index's length.  Returns the entry count and every 64th block's first key."""
+def _write_run(path: str, entries: Iterator[tuple]) -> int:
+    """A run, or a piece of one: compressed blocks of JSON lines, an index of each block's first key and place, and the index's length.  Returns the entry count."""
     n, index = 0, []
 
     def fill(out) -> None:
@@ -215,7 +232,7 @@ def _write_run(path: str, entries: Iterator[tuple]) -> tuple[int, list[str]]:
         out.write(tail + len(tail).to_bytes(8, "little"))
 
     write_file(path, fill)
-    return n, index
+    return n
 
 
 def read_run(path: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
@@ -241,12 +258,14 @@ def read_run(path: str, low: tuple | None = None, high: tuple | None = None) ->
                     yield (*key, tuple(e[4]))
 
 
-_RUNS = "run string, n long, pass int"
+_KEY = "struct<key: string, at: string, archive: string, offset: long>"
+_KEY_TYPE = pa.struct([("key", pa.string()), ("at", pa.string()), ("archive", pa.string()), ("offset", pa.int64())])
 
 
 def index_archives(manifest: DataFrame) -> DataFrame:
-    """Reads all archives; writes sorted runs of index entries and returns their list."""
-    root = scratch(manifest.sparkSession, "runs")
+    """Reads all archives; writes sorted runs of index entries and returns their list: run, n, sample (of the keys, one in RANGE_ENTRIES / SAMPLES)."""
+    root, step = scratch(manifest.sparkSession, "runs"), max(1, RANGE_ENTRIES // SAMPLES)
+    most = RUN_ENTRIES
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (p for b in batches for p in b["path"].to_pylist()):
@@ -254,33 +273,32 @@ def index_archives(manifest: DataFrame) -> DataFrame:
                 held = []
                 for r in read_archive(f):
                     held.append(_entry(path, r))
-                    if len(held) == RUN_ENTRIES:
+                    if len(held) == most:
                         yield spill(held)
                         held = []
                 if held:
                     yield spill(held)
 
     def spill(held: list[tuple]) -> pa.RecordBatch:
-        run = f"{root}/{uuid.uuid4().hex}.run"
-        n, _ = _write_run(run, iter(sorted(held)))
-        return pa.RecordBatch.from_pydict({"run": [run], "n": pa.array([n], pa.int64()), "pass": pa.array([0], pa.int32())})
-
-    tasks = max(1, min(manifest.count(), 20_000))
-    return persisted(manifest.select("path").repartition(tasks).mapInArrow(index, _RUNS), "runs")
-
+        name = uuid.uuid4()
+        run = f"{root}/{name.hex}.run"
+        held.sort()
+        keys = [dict(zip(("key", "at", "archive", "offset"), e[:4], strict=True)) for e in held[name.int % step :: step]]  # begins anywhere, so short runs count as they should
+        return pa.RecordBatch.from_pydict({"run": [run], "n": pa.array([_write_run(run, iter(held))], pa.int64()), "sample": pa.array([keys], pa.list_(_KEY_TYPE))})
 
-def _merge_pass(runs: DataFrame, k: int) -> DataFrame:
-    """Every FAN_IN runs become one."""
-    root = scratch(runs.sparkSession, "runs")
-    groups = -(-k // FAN_IN)
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return persisted(manifest.select("path").repartition(tasks).mapInArrow(index, f"run string, n long, sample array<{_KEY}>"), "runs")
 
-    def merge(group: pa.Table) -> pa.Table:
-        run = f"{root}/{uuid.uuid4().hex}.run"
-        n, _ = _write_run(run, iter(LoserTree(map(read_run, sorted(group["run"].to_pylist())))))
-        return pa.table({"run": [run], "n": pa.array([n], pa.int64()), "pass": pa.array([1], pa.int32())})
 
-    dealt = runs.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int")).repartition(groups, "g")
-    return persisted(dealt.groupBy("g").applyInArrow(merge, _RUNS), "runs")
+def _range_bounds(runs: DataFrame) -> DataFrame:
+    """First keys of all final ranges but the first: no (from 1 on), bound."""
+    keys = runs.select(F.explode("sample").alias("bound"))
+    tasks = -(-keys.count() // SORTED_AT_ONCE)
+    dealt = keys.repartitionByRange(tasks, "bound") if tasks > 1 else keys.coalesce(1)
+    place = F.row_number().over(Window.partitionBy("p").orderBy("bound"))
+    every = dealt.withColumn("p", F.spark_partition_id()).withColumn("place", place).filter(F.col("place") % SAMPLES == 0).select("bound")
+    # one row for each final range: RANGE_ENTRIES times fewer than captures
+    return persisted(every.distinct().withColumn("no", F.row_number().over(Window.orderBy("bound"))), "bounds")
 
 
 _CAPTURE = pa.schema(
@@ -288,44 +306,61 @@ _CAPTURE = pa.schema(
 )
 
 
-def merge_runs(runs: DataFrame, *, most_bounds: int = 4096) -> DataFrame:
-    """All captures in order of URL key, timestamp and place: by part, then as they come in it.
+def _merges(pieces: DataFrame, bounds: DataFrame, ranges: int, step: int, wider: int) -> DataFrame:
+    """A row for each merge of a pass, whose ranges are step final ones: g, j, low, high, paths (a piece of each of at most FAN_IN runs).
 
-    The driver gets the list of at most FAN_IN runs and at most most_bounds sampled keys.
+    pieces: no, j (range of the pass before, which was wider times as wide), path.
     """
-    spark = runs.sparkSession
-    while (k := runs.count()) > FAN_IN:
-        runs = _merge_pass(runs, k)
-    listed = sorted((r.run, r.n) for r in runs.collect())
-    paths, total = [p for p, _ in listed], sum(n for _, n in listed)
-    ranges = max(1, min(most_bounds, -(-total // RANGE_ENTRIES), total))
-    wanted = 16 * ranges
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, n in (r for b in batches for r in zip(b["run"].to_pylist(), b["n"].to_pylist(), strict=True)):
-            step = max(1, total // wanted)
-            keys = [json.dumps(e[:4], ensure_ascii=False) for i, e in enumerate(read_run(path)) if i % step == step // 2]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string())})
-
-    bounds: list[tuple] = []
-    if ranges > 1:
-        keys = sorted(tuple(json.loads(r.key)) for r in runs.select("run", "n").repartition(len(paths)).mapInArrow(sample, "key string").collect())
-        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)})
+    n = -(-ranges // step)
+    last = F.least((F.col("j") + 1) * wider, F.lit(n)) - 1
+    tasks = pieces.select("path", F.floor(F.col("no") / FAN_IN).alias("g"), F.explode(F.sequence(F.col("j") * wider, last)).alias("j"))
+    low = bounds.select((F.col("no") / step).cast("long").alias("j"), F.col("bound").alias("low"), (F.col("no") % step).alias("r")).filter("r = 0").drop("r")
+    high = low.select((F.col("j") - 1).alias("j"), F.col("low").alias("high"))
+    grouped = tasks.groupBy("g", "j").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return grouped.join(low, "j", "left").join(high, "j", "left").select("g", "j", "low", "high", "paths")
+
+
+def _opened(row: dict) -> LoserTree:
+    low, high = (None if row[k] is None else tuple(row[k][c] for c in ("key", "at", "archive", "offset")) for k in ("low", "high"))
+    return LoserTree([read_run(p, low, high) for p in row["paths"]])
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """All captures in order of URL key, timestamp and place: by part, then as they come in it.  Nothing goes to the driver but counts."""
+    bounds = _range_bounds(runs)
+    ranges, k = bounds.count() + 1, runs.count()
+    passes, left = 0, k
+    while left > FAN_IN:
+        passes, left = passes + 1, -(-left // FAN_IN)
+    pieces = runs.select((F.row_number().over(Window.orderBy("run")) - 1).cast("long").alias("no"), F.lit(0).cast("long").alias("j"), F.col("run").alias("path"))
+    wider = -(-ranges // FAN_IN**passes)  # the first pass finds whole runs
+    for p in range(passes, 0, -1):
+        root, k = scratch(runs.sparkSession, "runs"), -(-k // FAN_IN)
+
+        def write(batches: Iterator[pa.RecordBatch], root: str = root) -> Iterator[pa.RecordBatch]:
+            for row in (r for b in batches for r in b.to_pylist()):
+                path = f"{root}/{uuid.uuid4().hex}.run"
+                n = _write_run(path, iter(_opened(row)))
+                yield pa.RecordBatch.from_pydict({"no": pa.array([row["g"]], pa.int64()), "j": pa.array([row["j"]], pa.int64()), "path": [path], "n": pa.array([n], pa.int64())})
+
+        step = FAN_IN**p
+        merges = _merges(pieces, bounds, ranges, step, wider)
+        written = persisted(merges.repartition(min(MOST_TASKS, k * -(-ranges // step)), "g", "j").mapInArrow(write, "no long, j long, path string, n long"), "runs")
+        pieces, wider = written.filter("n > 0").drop("n"), FAN_IN
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in b["part"].to_pylist()):
-            low, high = bounds[part - 1] if part else None, bounds[part] if part < len(bounds) else None
+        for row in (r for b in batches for r in b.to_pylist()):
             held = []
-            for e in LoserTree([read_run(p, low, high) for p in paths]):
-                held.append((part, *e[:4], *e[4]))
+            for e in _opened(row):
+                held.append((row["j"], *e[:4], *e[4]))
                 if len(held) == 8192:
                     yield _captures(held)
                     held = []
             if held:
                 yield _captures(held)
 
-    parts = spark.range(len(bounds) + 1).select(F.col("id").cast("int").alias("part")).repartition(len(bounds) + 1)
-    return parts.mapInArrow(merge, "part int, url_key string, timestamp string, archive string, offset long, page_id long, stored_bytes long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = _merges(pieces, bounds, ranges, 1, wider).repartition(min(MOST_TASKS, ranges), "j")
+    return dealt.mapInArrow(merge, "part int, url_key string, timestamp string, archive string, offset long, page_id long, stored_bytes long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _captures(held: list[tuple]) -> pa.RecordBatch:
