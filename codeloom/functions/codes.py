@@ -9,13 +9,14 @@ import hashlib
 import os
 import time
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 
 from ..options import Options
 from . import codec
 from .constants import FRAME_VALUES, MULTIHASH_BLAKE3, SCHEME, Content, Main, Plain
-from .hashing import Blake3, blake3, xxh32_slices
+from .hashing import Blake3, blake3, xxh32, xxh32_slices
 from .sketches import chunk_ends, chunk_features, dct, divide, minhash, minhash_256, pack_minhash, simhash, winner_take_all
 from .text import b64url_decode, chunk_string, clean, collapse, interleave, is_json, minify, remove_newlines, sliding_window, trim, utf16_length, window_places
 
@@ -51,31 +52,44 @@ def soft_hash_meta(name: str, extra: str | None = None, extra_is_json: bool = Fa
     return bytes.fromhex("".join(interleave(chunk_string(own[:16].hex(), 8), chunk_string(more[:16].hex(), 8))))
 
 
-def meta_code(name: str, description: str | None = None, meta: str | None = None, bits: int | None = None, version: int | None = None, options: Options = DEFAULTS) -> dict:
-    """Code of a name, and of a description or of metadata (JSON, or a data URL)."""
+class MetaParts(NamedTuple):
+    """What a meta code is made of: normalised name and description, the payload that is hashed, what is compared beside the name, and the metadata as shown."""
+
+    name: str
+    description: str
+    payload: str
+    extra: str
+    extra_is_json: bool
+    shown: str | None
+
+
+def meta_parts(name: str, description: str | None, meta: str | None, options: Options = DEFAULTS) -> MetaParts:
     import base64
 
-    _only_version_0(version)
     name = trim(remove_newlines(clean(trim(name, 10 * options.meta_trim_name))), options.meta_trim_name)
     if not name:
         raise ValueError("a name is needed that isn't empty once normalised")
     description = trim(clean(trim(description or "", 10 * options.meta_trim_description)), options.meta_trim_description)
     if not meta:
-        payload, digest, shown = trim(f"{name} {description}"), soft_hash_meta(name, description, options=options), None
-    else:
-        if utf16_length(meta) > options.max_meta_bytes:
-            raise ValueError(f"metadata has more than {options.max_meta_bytes} characters")
-        if "data:" in meta:
-            payload, shown = b64url_decode((meta.split(",") + [""])[1]), meta
-            as_json = is_json(payload)
-        elif is_json(meta):
-            payload, as_json = minify(meta), True
-            kind = "application/ld+json" if "@context" in meta else "application/json"
-            shown = f"data:{kind};base64,{base64.b64encode(payload.encode()).decode()}"
-        else:
-            raise ValueError("metadata must be a data URL or JSON")
-        digest = soft_hash_meta(name, payload, as_json, options)
-    return {"code": _coded(Main.META, Plain.NONE, bits or options.meta_bits, digest), "metahash": multihash(payload), "name": name, "description": description, "meta": shown, "version": 0}
+        return MetaParts(name, description, trim(f"{name} {description}"), description, False, None)
+    if utf16_length(meta) > options.max_meta_bytes:
+        raise ValueError(f"metadata has more than {options.max_meta_bytes} characters")
+    if "data:" in meta:
+        payload = b64url_decode((meta.split(",") + [""])[1])
+        return MetaParts(name, description, payload, payload, is_json(payload), meta)
+    if not is_json(meta):
+        raise ValueError("metadata must be a data URL or JSON")
+    payload = minify(meta)
+    kind = "application/ld+json" if "@context" in meta else "application/json"
+    return MetaParts(name, description, payload, payload, True, f"data:{kind};base64,{base64.b64encode(payload.encode()).decode()}")
+
+
+def meta_code(name: str, description: str | None = None, meta: str | None = None, bits: int | None = None, version: int | None = None, options: Options = DEFAULTS) -> dict:
+    """Code of a name, and of a description or of metadata (JSON, or a data URL)."""
+    _only_version_0(version)
+    p = meta_parts(name, description, meta, options)
+    digest = soft_hash_meta(p.name, p.extra, p.extra_is_json, options)
+    return {"code": _coded(Main.META, Plain.NONE, bits or options.meta_bits, digest), "metahash": multihash(p.payload), "name": p.name, "description": p.description, "meta": p.shown, "version": 0}
 
 
 # -- content ----------------------------------------------------------------------------------
@@ -258,29 +272,41 @@ def instance_result(digest: bytes, size: int, bits: int) -> dict:
 
 
 class Flake:
-    """Digests of 48 bits of time in milliseconds and a counter, which begins at random with each new time."""
+    """Digests of 48 bits of time in milliseconds and a counter, which begins at random with each new time.
+
+    Makers side by side get a number each (``part`` of ``parts``): it takes the counter's highest
+    bits, and the counter waits for the next millisecond once it has gone through its own.
+    """
 
-    def __init__(self, random: Callable[[int], bytes] = os.urandom):
-        self.random, self.time, self.count = random, None, 0
+    def __init__(self, random: Callable[[int], bytes] = os.urandom, part: int = 0, parts: int = 1):
+        self.random, self.time, self.start, self.count = random, None, 0, 0
+        self.part, self.high = part, max(0, parts - 1).bit_length()
 
     def digest(self, seconds: float | None = None, bits: int = 64) -> bytes:
         if not 64 <= bits <= 256 or bits % 32:
             raise ValueError("64 to 256 bits, in steps of 32")
         size = bits // 8 - 6
+        own = 1 << 8 * size - self.high  # numbers of this maker in a millisecond
+        if 8 * size - self.high < 1:
+            raise ValueError(f"{bits} bits have no room for so many makers")
         now = int((time.time() if seconds is None else seconds) * 1000)
+        if self.time is not None and self.time[1] == size and self.high:
+            now = max(now, self.time[0])
+        if (now, size) == self.time and self.high and self.count >= own:
+            now += 1
         if (now, size) != self.time:
-            self.time, self.count = (now, size), int.from_bytes(self.random(size), "big")
-        out = now.to_bytes(6, "big") + (self.count % (1 << 8 * size)).to_bytes(size, "big")
+            self.time, self.start, self.count = (now, size), int.from_bytes(self.random(size), "big"), 0
+        number = (self.start + self.count) % own | self.part * own
         self.count += 1
-        return out
+        return now.to_bytes(6, "big") + number.to_bytes(size, "big")
 
 
 _FLAKE = Flake()
 
 
-def flake_code(bits: int | None = None, seconds: float | None = None, options: Options = DEFAULTS) -> dict:
+def flake_code(bits: int | None = None, seconds: float | None = None, options: Options = DEFAULTS, maker: Flake = _FLAKE) -> dict:
     bits = bits or options.flake_bits
-    return {"code": _coded(Main.FLAKE, Plain.NONE, bits, _FLAKE.digest(seconds, bits))}
+    return {"code": _coded(Main.FLAKE, Plain.NONE, bits, maker.digest(seconds, bits))}
 
 
 def time_id(microseconds: int | None = None, hub: int = 0, realm: int = 0) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,11 @@ import numpy as np
 from .constants import FRAME_PAIRS, GEAR, MINHASH_A, MINHASH_B, MINHASH_PRIME
 from .hashing import xxh32_slices
 
+try:
+    import xxhash
+except ImportError:  # long inputs then go through numpy, one by one
+    xxhash = None
+
 
 def simhash(digests: Sequence[bytes]) -> bytes:
     """Bit by bit what at least half of the digests have; as long as they are."""
@@ -23,18 +29,41 @@ _A, _B = np.array(MINHASH_A, dtype=np.uint64)[:, None], np.array(MINHASH_B, dtyp
 _PRIME = np.uint64(MINHASH_PRIME)
 
 
+_AT_ONCE = 1 << 14
+
+
+def minhash_groups(features: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Least values (32 bits) under the 64 permutations of each group of features: a row for each of the places where groups begin (ascending; none is empty)."""
+    out = np.full((len(first), 64), 0xFFFFFFFF, dtype=np.uint32)
+    bounds, turn = np.r_[first, len(features)], np.uint64(61)
+    for a in range(0, len(features), _AT_ONCE):  # so much stays in a processor's cache
+        f = np.asarray(features[a : a + _AT_ONCE], dtype=np.uint64)
+        h, t = np.empty_like(f), np.empty_like(f)
+        lo, hi = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, a + len(f), side="left")
+        starts = np.maximum(bounds[lo:hi] - a, 0)
+        for k in range(64):
+            np.multiply(f, _A[k, 0], out=h)
+            h += _B[k, 0]
+            np.right_shift(h, turn, out=t)
+            h &= _PRIME
+            h += t
+            if h.max() >= _PRIME:
+                h[h >= _PRIME] -= _PRIME
+            np.minimum(out[lo:hi, k], np.minimum.reduceat(h.astype(np.uint32), starts), out=out[lo:hi, k])
+    return out
+
+
 def minhash(features: np.ndarray) -> np.ndarray:
     """Least values (32 bits) of the features under the 64 permutations."""
-    features = np.unique(np.asarray(features, dtype=np.uint64))
     if not len(features):
         raise ValueError("no features")
-    out = np.full(64, 0xFFFFFFFF, dtype=np.uint64)
-    for a in range(0, len(features), 2048):
-        h = _A * features[a : a + 2048] + _B
-        h = (h & _PRIME) + (h >> np.uint64(61))
-        h = np.where(h >= _PRIME, h - _PRIME, h) & np.uint64(0xFFFFFFFF)
-        out = np.minimum(out, h.min(axis=1))
-    return out
+    return minhash_groups(np.asarray(features, dtype=np.uint64), np.zeros(1, dtype=np.int64))[0].astype(np.uint64)
+
+
+def pack_minhashes(values: np.ndarray) -> np.ndarray:
+    """Digests of 256 bits, as rows of bytes, of rows of least values."""
+    planes = [(values >> np.uint32(k)) & np.uint32(1) for k in range(4)]
+    return np.packbits(np.concatenate(planes, axis=1).astype(np.uint8), axis=1)
 
 
 def pack_minhash(values: np.ndarray, bits: int = 4) -> bytes:
@@ -52,7 +81,7 @@ def minhash_256(features: np.ndarray) -> bytes:
 
 
 def dct(values: np.ndarray) -> np.ndarray:
-    """Unnormalised DCT-II along the last axis, whose length is a power of two (Lee's recursion)."""
+    """Unnormalised DCT-II along the last axis, whose length is a power of two: B. G. Lee's recursion of 1984, in the form of Nayuki's public note on fast DCTs, whose rounding the format's codes follow."""
     n = values.shape[-1]
     if n == 1:
         return values
@@ -94,8 +123,57 @@ class ChunkRule:
         self.strict, self.loose = (1 << bits + 1) - 1, (1 << bits - 1) - 1
 
 
-_GEAR = np.array(GEAR, dtype=np.uint32)
-_REACH = 32
+_GEAR = np.array(GEAR, dtype=np.uint64) << np.uint64(32)
+#: Bytes after which a hash doesn't tell any more where it began, but for a carry.
+_REACH = 64
+_SEGMENT = 1 << 15
+
+
+class _LikelyEnds:
+    """Places where the rolling hash of a long run of bytes marks an end, and those where fixed point can't tell.
+
+    The recurrence h -> h // 2 + g(byte) is the whole part of the sum of g over all bytes so far, each
+    halved once for each byte behind it.  Six doublings give 64 terms of it with 32 binary places,
+    of which less than 16 units of the last are lost; so the whole part is sure unless the fraction is
+    that close to 1, or (for terms from before a chunk's start, which shouldn't count) to 0.
+    """
+
+    def __init__(self, data: np.ndarray, rule: ChunkRule):
+        strict, loose, unsure = [], [], []
+        for a in range(0, len(data), _SEGMENT):
+            low = max(0, a - _REACH)
+            v = _GEAR[data[low : a + _SEGMENT]]
+            for s in (1, 2, 4, 8, 16, 32):
+                more = v[:-s] >> np.uint64(s) if len(v) > s else v[:0]
+                v[s:] += more
+            v = v[a - low :]
+            part = v & np.uint64(0xFFFFFFFF)
+            doubt = (part >= np.uint64((1 << 32) - 16)) | (part < np.uint64(2))
+            at = np.flatnonzero(((v >> np.uint64(32)) & np.uint64(rule.loose) == 0) | doubt)
+            loose.append(at + a)
+            strict.append(at[((v[at] >> np.uint64(32)) & np.uint64(rule.strict) == 0) | doubt[at]] + a)
+            unsure.append(np.flatnonzero(doubt) + a)
+        self.strict, self.loose = (np.concatenate(x).tolist() for x in (strict, loose))
+        self.unsure = set(np.concatenate(unsure).tolist())
+
+    def first(self, low: int, middle: int, high: int) -> int | None:
+        """The first place from low on that is marked: strictly below middle, loosely below high."""
+        for places, a, b in ((self.strict, low, middle), (self.loose, max(low, middle), high)):
+            k = bisect_left(places, a)
+            if k < len(places) and places[k] < b:
+                return places[k]
+        return None
+
+
+def _scanned(data: bytes, at: int, i: int, stop: int, pattern: int, rule: ChunkRule) -> tuple[int | None, int]:
+    """Byte by byte from place i of the chunk at ``at`` to stop: the end found, and the hash."""
+    gear = GEAR
+    for b in data[at + i : at + stop]:
+        pattern = (pattern >> 1) + gear[b]
+        i += 1
+        if not pattern & (rule.strict if i <= rule.centre else rule.loose):
+            return i, pattern
+    return None, pattern
 
 
 def chunk_ends(data: bytes, average: int = 1024, utf32: bool = False) -> list[int]:
@@ -106,19 +184,18 @@ def chunk_ends(data: bytes, average: int = 1024, utf32: bool = False) -> list[in
     """
     if not data:
         return [0]
-    rule, gear, ends, at, n = ChunkRule(average), GEAR, [], 0, len(data)
+    rule, ends, at, n = ChunkRule(average), [], 0, len(data)
+    likely = _LikelyEnds(np.frombuffer(data, dtype=np.uint8), rule) if n > rule.least + _REACH else None
     while at < n:
         size = min(n - at, rule.most)
-        i, pattern, end = rule.least, 0, None
-        for stop, mask in ((min(rule.centre, size), rule.strict), (size, rule.loose)):
-            for b in data[at + i : at + stop]:
-                pattern = (pattern >> 1) + gear[b]
-                i += 1
-                if not pattern & mask:
-                    end = i
-                    break
-            if end is not None:
-                break
+        warm = min(size, rule.least + _REACH)
+        end, pattern = _scanned(data, at, rule.least, warm, 0, rule)
+        if end is None and warm < size:
+            place = likely.first(at + warm, at + min(rule.centre, size), at + size)
+            if place in likely.unsure:
+                end, _ = _scanned(data, at, warm, size, pattern, rule)
+            elif place is not None:
+                end = place + 1 - at
         step = end if end is not None else max(size, 0)
         if utf32:
             step = max(4, step - step % 4)
@@ -129,6 +206,10 @@ def chunk_ends(data: bytes, average: int = 1024, utf32: bool = False) -> list[in
 
 def chunk_features(data: bytes, average: int = 1024) -> np.ndarray:
     """xxHash32 of each chunk."""
-    ends = np.array(chunk_ends(data, average))
+    ends = chunk_ends(data, average)
+    if xxhash is not None:
+        view = memoryview(data)
+        return np.array([xxhash.xxh32_intdigest(view[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], dtype=np.uint32)
+    ends = np.array(ends)
     start = np.r_[0, ends[:-1]]
     return xxh32_slices(np.frombuffer(data, dtype=np.uint8), start, ends - start)

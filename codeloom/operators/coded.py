@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Functions
+from ..naming import exactly
 
 
 def with_text_code(df: DataFrame, text: str, into: str = "text_code", f: Functions | None = None) -> DataFrame:
@@ -14,11 +15,9 @@ def with_text_code(df: DataFrame, text: str, into: str = "text_code", f: Functio
 
 
 def with_asset_code(df: DataFrame, name: str, text: str, into: str = "asset_code", f: Functions | None = None) -> DataFrame:
-    """df with the composite of a text asset: of its name, its text, and the UTF-8 bytes of the text."""
+    """df with the composite of a text asset: of its name, its text, and the UTF-8 bytes of the text; null where either is null.  One pass over each Arrow batch."""
     f = f or Functions()
-    data = F.encode(text, "UTF-8")
-    parts = df.withColumn("_m", f.meta_code(name)["code"]).withColumn("_t", f.text_code(text)["code"]).withColumn("_d", f.data_code(data)["code"]).withColumn("_i", f.instance_code(data)["code"])
-    return parts.withColumn(into, f.compose(F.array("_m", "_t", "_d", "_i"), F.lit(False))).drop("_m", "_t", "_d", "_i")
+    return df.withColumn(into, f.text_asset_code(exactly(name), exactly(text)))
 
 
 def units(df: DataFrame, ident: str, code: str, f: Functions | None = None) -> DataFrame:

@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions import native
 from ..functions.columns import Functions
 from ..functions.constants import FRAME_VALUES, Content, Main
-from ..functions.sketches import minhash
+from ..functions.sketches import minhash_groups
 
 
 def _majority(bits: int, word: Column, base: int = 0) -> list[Column]:
@@ -47,12 +49,10 @@ def minhash_by(df: DataFrame, key: str, feature: str, into: str = "minhash") ->
             order = np.argsort(code, kind="stable")
             values = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[order]
             start = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-            least = [minhash(part).astype(np.int64) for part in np.split(values, start[1:])] if len(values) else []
+            least = list(minhash_groups(values, start).astype(np.int64)) if len(values) else []
             names = b.column(0).take(pa.array(order[start])) if len(values) else b.column(0)[:0]
             yield pa.RecordBatch.from_arrays([names, pa.array(least, pa.list_(pa.int64()))], names=[key, "least"])
 
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
     rows = df.filter(F.col(feature).isNotNull()).select(key, F.col(feature).cast("long"))
     parts = rows.mapInArrow(partial, StructType([StructField(key, kind), StructField("least", ArrayType(LongType()))]))
     least = parts.groupBy(key).agg(*(F.min(F.get("least", F.lit(k))).alias(f"m{k}") for k in range(64)))
@@ -71,9 +71,25 @@ def frame_code_by(frames: DataFrame, key: str, signature: str, bits: int = 64, i
     size = F.size(signature)
     checked = frames.select(key, F.when(size >= FRAME_VALUES, F.col(signature)).otherwise(F.raise_error(F.lit(f"frame signatures must have {FRAME_VALUES} values"))).alias("s"))
     distinct = checked.dropDuplicates([key, "s"])
-    sums = distinct.select(key, *(F.get("s", F.lit(i)).alias(f"v{i}") for i in range(FRAME_VALUES))).groupBy(key).agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(FRAME_VALUES)))
-    digest = native.frame_bits(F.array(*(f"v{i}" for i in range(FRAME_VALUES))), bits)
-    return sums.select(key, native.unit_code(Main.CONTENT, Content.VIDEO, 0, bits, digest).alias(into))
+    kind = StructType([StructField(key, frames.schema[key].dataType), StructField("s", ArrayType(LongType()))])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = b.column(0).dictionary_encode()
+            code = code.indices.fill_null(len(code.dictionary)).to_numpy(zero_copy_only=False)
+            values = b.column(1)
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            size = pc.list_value_length(values).to_numpy(zero_copy_only=False)
+            rows = flat[(np.cumsum(size) - size)[:, None] + np.arange(FRAME_VALUES)] if len(code) else flat.reshape(0, FRAME_VALUES)
+            order = np.argsort(code, kind="stable")
+            start = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0]) if len(code) else order
+            sums = list(np.add.reduceat(rows[order], start, axis=0)) if len(code) else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(order[start])), pa.array(sums, pa.list_(pa.int64()))], names=[key, "s"])
+
+    # a row for each group and batch, summed up place by place
+    placed = distinct.select(key, "s").mapInArrow(partial, kind).select(key, F.posexplode("s").alias("place", "x")).groupBy(key, "place").agg(F.sum("x").alias("x"))
+    sums = placed.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("s"))
+    return sums.select(key, native.unit_code(Main.CONTENT, Content.VIDEO, 0, bits, native.frame_bits("s", bits)).alias(into))
 
 
 def audio_digest_by(features: DataFrame, key: str, position: str, value: str, into: str = "digest") -> DataFrame:
