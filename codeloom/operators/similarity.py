@@ -1,45 +1,87 @@
 """Joins by Hamming distance over 64-bit words.
 
-Two words that differ in at most k bits agree in at least one of k + 1 bands (pigeonhole), so an
-equi-join on bands finds all pairs; the exact distance is then checked.  Equal words are one row
-throughout: copies multiply neither bands nor pairs.
+A word is cut into m bands, and band i gets a radius r[i] with the sum of all r[i] + 1 above k: two
+words that differ in at most k bits are within r[i] in some band (pigeonhole).  Within r[i] means that
+some value within r[i] // 2 of one word's band is within the rest of r[i] of the other's; so both
+words list those values (each mask of so few bits, by xor), an equi-join on band and value finds all
+pairs, and the exact distance is then checked.  Few wide bands make few candidates but many values;
+the plan is chosen by the estimated cost for the number of words at hand.  Equal words are one row
+throughout: copies multiply neither values nor pairs.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import persisted
+
+#: Most values that a word lists in one band.
+MOST_MASKS = 1000
+#: What a candidate costs, in listed values: it is met several times, compared and sorted out.
+CANDIDATE = 32
+
+
+def _ball(width: int, radius: int) -> int:
+    return sum(comb(width, j) for j in range(radius + 1))
+
+
+def plan(k: int, words: int) -> list[tuple[int, int, int]]:
+    """Bands (lowest bit, width, radius) of the least estimated cost: values listed, and candidates among so many random words."""
+    best, cost = [], float("inf")
+    for m in range(1, k + 2):
+        spare = k + 1 - m  # radii add up to this
+        bands = [(64 * i // m, 64 * (i + 1) // m - 64 * i // m, spare // m + (i < spare % m)) for i in range(m)]
+        sides = [(_ball(w, r // 2), _ball(w, r - r // 2)) for _, w, r in bands]
+        if any(r > w or max(s) > MOST_MASKS for (_, w, r), s in zip(bands, sides, strict=True)):
+            continue
+        estimate = words * sum(map(sum, sides)) + CANDIDATE * words**2 / 2 * sum(_ball(w, r) / 2.0**w for _, w, r in bands)
+        if estimate < cost:
+            best, cost = bands, estimate
+    return best
+
 
-def _bands(word: Column, k: int) -> Column:
-    """k + 1 bands of the word with their numbers, of as equal widths as can be."""
-    n, out, low = k + 1, [], 0
-    for i in range(n):
-        width = 64 * (i + 1) // n - low
-        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("bits")))
-        low += width
-    return F.array(*out)
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in bits) for j in range(radius + 1) for bits in combinations(range(width), j)]
+
+
+def _of_band(band: int, bits: Column) -> Column:
+    return F.struct(F.lit(band).alias("band"), bits.alias("bits"))
+
+
+def _listed(word: Column, bands: list[tuple[int, int, int]], half) -> Column:
+    """Of each band the values within half(radius): band, bits."""
+    out = []
+    for i, (low, width, radius) in enumerate(bands):
+        value = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+        masks = F.array(*(F.lit(x).cast("long") for x in _masks(width, half(radius))))
+        out.append(F.transform(F.transform(masks, value.bitwiseXOR), partial(_of_band, i)))
+    return F.concat(*out) if len(out) > 1 else out[0]
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def similar_words(words: DataFrame, word: str, k: int, others: DataFrame | None = None, other: str | None = None) -> DataFrame:
-    """Pairs of different words (a < b; with others: a of words, b of others, also equal) at most k bits apart: a, b, distance."""
+def similar_words(words: DataFrame, word: str, k: int, others: DataFrame | None = None, other: str | None = None, bands: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """Pairs of different words (a < b; with others: a of words, b of others, also equal) at most k bits apart: a, b, distance.
+
+    Distinct words are written to the shared folder first: they are counted, and read twice.
+    """
     if not 0 <= k < 64:
         raise ValueError("k must be 0 to 63")
-    left = words.select(F.col(word).alias("a")).filter("a is not null").distinct()
-    right = (others.select(F.col(other or word).alias("b")).filter("b is not null").distinct()) if others is not None else left.select(F.col("a").alias("b"))
-    banded_left = left.select("a", F.inline(_bands(F.col("a"), k)))
-    banded_right = right.select("b", F.inline(_bands(F.col("b"), k)))
-    pairs = banded_left.join(banded_right, ["band", "bits"])
+    left = persisted(words.select(F.col(word).alias("a")).filter("a is not null").distinct(), "words")
+    right = persisted(others.select(F.col(other or word).alias("b")).filter("b is not null").distinct(), "words") if others is not None else left.select(F.col("a").alias("b"))
+    bands = bands or plan(k, max(left.count(), right.count() if others is not None else 0))
+    met = left.select("a", F.inline(_listed(F.col("a"), bands, lambda r: r // 2))).join(right.select("b", F.inline(_listed(F.col("b"), bands, lambda r: r - r // 2))), ["band", "bits"])
     if others is None:
-        pairs = pairs.filter("a < b")
-    near = pairs.withColumn("distance", distance(F.col("a"), F.col("b"))).filter(F.col("distance") <= k)
-    # each pair once: in the first band in which it agrees
-    agree = [F.when(F.get(_bands(F.col("a"), k), F.lit(i))["bits"] == F.get(_bands(F.col("b"), k), F.lit(i))["bits"], F.lit(i)) for i in range(k + 1)]
-    return near.filter(F.col("band") == F.coalesce(*agree)).select("a", "b", "distance")
+        met = met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = met.withColumn("distance", distance(F.col("a"), F.col("b"))).filter(F.col("distance") <= k)
+    return near.select("a", "b", "distance").distinct()
 
 
 def similar_rows(df: DataFrame, ident: str, word: str, k: int) -> DataFrame:

@@ -167,6 +167,60 @@ def wallet_ids(spark, d):
     return ids.select("c_custkey", "id", f.next_wallet_id("id").alias("next"), f.wallet_id_simhash("id", "c_name").alias("simhash"))
 
 
+def byte_cuts(spark, d):
+    """Texts cut to 61 bytes of UTF-8, inside of characters too, trimmed, and without some letters at the end."""
+    docs = _table(spark, d, "documents")
+    cut = native.cut_utf8("text", 61)
+    return docs.select("doc_id", cut.alias("cut"), native.trim("text", 61).alias("trimmed"), native.rtrim(cut, "aeiou.").alias("stem"))
+
+
+def part_text_codes(spark, d):
+    """Text codes of part names, and the 256 bits they are cut from."""
+    f = Functions()
+    parts = _table(spark, d, "part").select("p_partkey", f.text_code("p_name").alias("t"), f.soft_hash_text(f.text_collapse("p_name")).alias("h"))
+    return parts.select("p_partkey", "t.code", F.col("t.characters").cast("long").alias("characters"), F.lower(F.hex("h")).alias("digest"))
+
+
+def customer_instances(spark, d):
+    f = Functions()
+    return _table(spark, d, "customer").select("c_custkey", f.instance_code(F.encode("c_name", "UTF-8")).alias("i")).select("c_custkey", "i.code", "i.datahash", "i.filesize")
+
+
+def unit_views(spark, d):
+    """Units of SHA-256 digests: header, all bases, views, validation, and the comparison of two."""
+    f = Functions()
+    digest = lambda c: F.unhex(F.sha2(F.encode(c, "UTF-8"), 256))
+    unit = lambda c: native.unit_code(Main.DATA, Plain.NONE, 0, 64, digest(c))
+    parts = _table(spark, d, "part").select("p_partkey", unit("p_name").alias("code"), unit("p_type").alias("other"), native.unit_code(Main.META, Plain.NONE, 0, 256, digest("p_name")).alias("long_code"))
+    rows = parts.withColumn("i", f.code_inspect("code")).withColumn("c", f.code_decode("code")).withColumn("p", f.prefix_similarity(f.code_decode("code")["body"], F.substring(f.code_decode("other")["body"], 1, 6)))
+    dashed = F.lower(F.concat(F.substring("code", 1, 9), F.lit("-"), F.substring(F.col("code"), 10, 99)))
+    return rows.select(
+        "p_partkey", "code", "c.main", "c.sub", "c.version", "c.length", F.lower(F.hex("c.body")).alias("body"), "i.type_id", F.col("i.explain").alias("explained"), "i.uint", "i.hash_uint",
+        F.col("i.mf_base16").alias("base16"), F.col("i.mf_base58btc").alias("base58btc"), F.col("i.mf_base32").alias("mf_base32"), F.col("i.mf_base64url").alias("base64url"), "i.base32hex",
+        f.code_normalize(dashed).alias("again"), f.code_validate("code").alias("valid"), f.code_validate(F.expr("substr(code, 1, length(code) - 2)")).alias("cut_valid"), f.code_validate_mf("i.mf_base58btc").alias("valid_mf"),
+        f.code_distance("code", "other").alias("distance"), f.code_similarity("code", "other").alias("similarity"), F.col("p.common_prefix_bits").alias("common"), F.col("p.similarity").alias("prefix_similarity"),
+        "long_code", f.code_type_id("long_code").alias("long_type"),
+    )
+
+
+def composites(spark, d):
+    """Composites of units of digests, wide ones and of Data and Instance alone; their units, and the way back from these one behind the other."""
+    f = Functions()
+    unit = lambda main, bits, *c: native.unit_code(main, 0, 0, bits, F.unhex(F.sha2(F.encode(F.concat(*c), "UTF-8"), 256)))
+    parts = _table(spark, d, "part").select("p_partkey", unit(Main.META, 64, "p_name").alias("m"), unit(Main.CONTENT, 64, "p_type").alias("t"), unit(Main.DATA, 128, "p_brand").alias("x"), unit(Main.INSTANCE, 128, "p_name", "p_type").alias("i"))
+    rows = parts.withColumn("code", f.compose(F.array("m", "i", "t", "x"), F.lit(False))).withColumn("wide", f.compose(F.array("x", "i"), F.lit(True))).withColumn("sum_code", f.compose(F.array("i", "x"), F.lit(False))).withColumn("units", f.code_decompose("code"))
+    back = f.compose("units", F.lit(False)) == F.col("code")
+    return rows.select("p_partkey", "code", "wide", "sum_code", F.array_join("units", " ").alias("units"), f.code_type_id("code").alias("type_id"), back.alias("again"), (F.concat(F.lit("ISCC:"), f.code_decompose("wide")[0]) == F.col("x")).alias("wide_units"))
+
+
+def token_ids(spark, d):
+    """Content identifiers as token numbers, and back."""
+    f = Functions()
+    cids = _table(spark, d, "documents").select("doc_id", native.cid(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("cid")).filter("cid is not null")
+    token = f.cid_to_token("cid")
+    return cids.select("doc_id", "cid", (f.cid_from_token(token) == F.col("cid")).alias("same"), (native.cid_from_digest(native.cid_digest("cid")) == F.col("cid")).alias("sound"))
+
+
 def time_ids(spark, d):
     found = ev.mint_time_ids(_table(spark, d, "events"), "ts", "user_id")
     return found.select("event_id", "time_id")
@@ -269,6 +323,12 @@ QUERIES = {
         explained_codes,
         mixed_codes,
         wallet_ids,
+        byte_cuts,
+        part_text_codes,
+        customer_instances,
+        unit_views,
+        composites,
+        token_ids,
         time_ids,
         content_ids,
         instance_units,

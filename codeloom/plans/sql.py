@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql_codes
 from ..functions.constants import BASE32, FRAME_PAIRS, FRAME_VALUES, MINHASH_A, MINHASH_B, MINHASH_PRIME
 
 _PERMUTATIONS = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(zip(MINHASH_A, MINHASH_B, strict=True)))
@@ -107,3 +108,4 @@ SELECT label, 'ISCC:' || {letters} AS code FROM b
 
 
 ORACLES["frame_codes"] = _frame_codes()
+ORACLES |= sql_codes.ORACLES
