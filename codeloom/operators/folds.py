@@ -116,12 +116,15 @@ def compose_by(units: DataFrame, key: str, code: str, into: str = "code", wide:
 
 
 def mixed_code_by(units: DataFrame, key: str, code: str, bits: int = 64, into: str = "code") -> DataFrame:
-    """Mixed code of each group's content codes of 64 bits and more: the majority of header byte and body."""
-    if bits != 64:
-        raise ValueError("over tables, codes of 64 bits are mixed")
+    """Mixed code of each group's content codes of ``bits`` bits and more: the majority of header byte and body."""
+    if not 32 <= bits <= 256 or bits % 32:
+        raise ValueError("32 to 256 bits, in steps of 32")
     f = Functions()
-    words = units.select(key, F.unhex(F.lit("00")).alias("z"), f.code_decode(code).alias("c"), F.col(code).alias("u"))
+    words = units.select(key, f.code_decode(code).alias("c"))
     head = F.lpad(F.hex(F.col("c.main") * 16 + F.col("c.sub")), 2, "0")
-    word = F.conv(F.concat(head, F.substring(F.hex("c.body"), 1, 14)), 16, -10).cast("long")
-    checked = words.select(key, F.when(F.col("c.main") == int(Main.CONTENT), word).otherwise(F.raise_error(F.lit("only content codes can be mixed"))).alias("w"))
-    return simhash_by(checked, key, ["w"], "d").select(key, native.unit_code(Main.CONTENT, Content.MIXED, 0, 64, F.col("d")).alias(into))
+    n = -(-bits // 64)
+    digits = F.rpad(F.concat(head, F.substring(F.hex("c.body"), 1, bits // 4 - 2)), 16 * n, "0")
+    fits = (F.col("c.main") == int(Main.CONTENT)) & (F.length("c.body") * 8 >= bits)
+    checked = words.select(key, F.when(fits, digits).otherwise(F.raise_error(F.lit(f"only content codes of {bits} bits and more can be mixed"))).alias("x"))
+    rows = checked.select(key, *(F.conv(F.substring("x", 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in range(n)))
+    return simhash_by(rows, key, [f"w{i}" for i in range(n)], "d").select(key, native.unit_code(Main.CONTENT, Content.MIXED, 0, bits, F.col("d")).alias(into))

@@ -105,7 +105,7 @@ def compare_units(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
     """Unit by unit comparison of many pairs of composites, as a join.
 
     left and right: rows of units (pair, main, sub, version, body), one row for each unit.  For each
-    pair: <main>_dist of units of the same kind, instance_match; null where a side lacks the unit.
+    pair: <main>_dist of units of the same kind, instance_match and id_match; null where a side lacks the unit.
     """
     on = [pair, "main", "sub", "version"]
     both = left.select(*on, F.col("body").alias("x")).join(right.select(*on, F.col("body").alias("y")), on)
@@ -113,5 +113,6 @@ def compare_units(left: DataFrame, right: DataFrame, pair: str) -> DataFrame:
     same_size = F.length("x") == F.length("y")
     bits = sum((F.coalesce(F.bit_count(word("x", i).bitwiseXOR(word("y", i))), F.lit(0)) for i in range(4)), F.lit(0))
     d = both.select(pair, "main", F.when(same_size, bits).alias("d"), (F.col("x") == F.col("y")).alias("same"))
-    names = {0: "meta_dist", 1: "semantic_dist", 2: "content_dist", 3: "data_dist"}
-    return d.groupBy(pair).agg(*(F.max(F.when(F.col("main") == m, F.col("d"))).alias(n) for m, n in names.items()), F.max(F.when(F.col("main") == 4, F.col("same"))).alias("instance_match"))
+    names = {0: "meta_dist", 1: "semantic_dist", 2: "content_dist", 3: "data_dist", 6: "id_dist", 7: "flake_dist"}
+    equal = {4: "instance_match", 6: "id_match"}
+    return d.groupBy(pair).agg(*(F.max(F.when(F.col("main") == m, F.col("d"))).alias(n) for m, n in names.items()), *(F.max(F.when(F.col("main") == m, F.col("same"))).alias(n) for m, n in equal.items()))

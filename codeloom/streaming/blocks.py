@@ -1,7 +1,9 @@
 """Data and instance codes of assets whose blocks come as a stream, in any order within and across batches.
 
 State for each open asset: the two hashers (64 least values and at most one chunk; a chaining value
-for each level and at most 1 KiB), the next block's number, and blocks that came too early.
+for each level and at most 1 KiB), the next block's number, and the blocks that came too early, all
+of them: a source that sends blocks far out of order needs state for what waits.  An asset that
+misses a block stays open, on a stream until its timeout; then its row has null codes.
 """
 
 from __future__ import annotations
@@ -50,39 +52,59 @@ class _Asset:
         return {"code_data": SCHEME + self.data.code(), "code_instance": SCHEME + self.instance.code(), "datahash": self.instance.multihash, "filesize": self.instance.filesize}
 
 
-def stream_codes(blocks: DataFrame, ident: str, seq: str = "seq", block: str = "block", last: str = "last") -> DataFrame:
-    """Codes of each asset as soon as all its blocks are there.  For streams; blocks that come again are left out."""
+_NOTHING = {"code_data": None, "code_instance": None, "datahash": None, "filesize": None}
+
+
+def stream_codes(blocks: DataFrame, ident: str, seq: str = "seq", block: str = "block", last: str = "last", timeout_seconds: int | None = None) -> DataFrame:
+    """Codes of each asset as soon as all its blocks are there.  For streams; blocks that come again are left out.
+
+    With timeout_seconds, an asset that gets no block for so long ends: with null codes, as it misses
+    blocks.  So does a block that is repeated after its asset was whole, which opens the asset anew.
+    """
     kind = blocks.schema[ident].dataType.simpleString()
 
     def take(key: tuple, parts: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([{ident: key[0]} | _NOTHING])
+            return
         asset = _Asset(state.get if state.exists else None)
         for part in parts:
             for s, b, e in zip(part[seq], part[block], part[last], strict=True):
                 asset.add(int(s), bytes(b), bool(e))
         if asset.whole:
-            state.remove()
+            if state.exists:
+                state.remove()
             yield pd.DataFrame([{ident: key[0]} | asset.result()])
         else:
             state.update(asset.state())
+            if timeout_seconds:
+                state.setTimeoutDuration(1000 * timeout_seconds)
 
-    return blocks.groupBy(ident).applyInPandasWithState(take, f"`{ident}` {kind}, {_OUT}", _STATE, "append", "NoTimeout")
+    return blocks.groupBy(ident).applyInPandasWithState(take, f"`{ident}` {kind}, {_OUT}", _STATE, "append", "ProcessingTimeTimeout" if timeout_seconds else "NoTimeout")
 
 
 def batch_codes(blocks: DataFrame, ident: str, seq: str = "seq", block: str = "block", last: str = "last") -> DataFrame:
-    """The same over a table of blocks: one asset's blocks go by in order, none is held."""
+    """The same over a table of blocks: one asset's blocks go by in order, none is held.  An asset that misses a block has null codes."""
     kind = blocks.schema[ident].dataType.simpleString()
     n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = blocks.select(ident, seq, block, last).repartition(n, ident).sortWithinPartitions(ident, seq)
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, asset, open_ = None, _Asset(), False
+        key, asset, done = None, None, True
         for batch in batches:
             for k, s, b, e in zip(batch[ident], batch[seq], batch[block], batch[last], strict=True):
-                if not open_ or k != key:
-                    key, asset, open_ = k, _Asset(), True
+                if asset is None or k != key:
+                    if not done:
+                        yield pd.DataFrame([{ident: key} | _NOTHING])
+                    key, asset, done = k, _Asset(), False
+                if done or s > asset.next:
+                    continue  # a repeat; or a block before is missing, and what follows isn't held
                 asset.add(int(s), bytes(b), bool(e))
                 if asset.whole:
                     yield pd.DataFrame([{ident: key} | asset.result()])
-                    open_ = False
+                    done = True
+        if not done:
+            yield pd.DataFrame([{ident: key} | _NOTHING])
 
     return rows.mapInPandas(take, f"`{ident}` {kind}, {_OUT}")

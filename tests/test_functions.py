@@ -274,3 +274,44 @@ def test_small_helpers():
 def test_options():
     assert options.load_options({"X_TEXT_BITS": "128", "X_META_BITS": "x"}, "X_").text_bits == 128
     assert options.conformant(options.Options()) and not options.conformant(options.Options(text_ngram_size=5))
+
+
+def test_tables_made_by_rule_in_full():
+    """Every value of the two tables that are made from their rules, by SHA-256 over all of them as text."""
+    import hashlib
+
+    from codeloom.functions.constants import FRAME_PAIRS, GEAR
+
+    text = lambda values: hashlib.sha256(",".join(values).encode()).hexdigest()
+    assert len(GEAR) == len(FRAME_PAIRS) == 256
+    assert text(map(str, GEAR)) == "ae404047d699e95669a376182b881d9fbdcf0788e394bac7a7c4708b8c2af84a"
+    assert text(f"{a} {b}" for a, b in FRAME_PAIRS) == "27139570faf8478d54f8f721b26c5e867d59de4d5501b45a31e378abfee944d3"
+
+
+def test_chunk_ends_are_those_of_the_recurrence():
+    """The fixed-point search against the hash byte by byte, on random, repetitive and constant bytes."""
+    import random
+
+    from codeloom.functions.constants import GEAR
+    from codeloom.functions.sketches import ChunkRule, chunk_ends
+
+    def slow(data, average):
+        rule, ends, at = ChunkRule(average), [], 0
+        while at < len(data):
+            size = min(len(data) - at, rule.most)
+            h, end = 0, size
+            for i in range(rule.least, size):
+                h = (h >> 1) + GEAR[data[at + i]]
+                if not h & (rule.strict if i < rule.centre else rule.loose):
+                    end = i + 1
+                    break
+            at = min(len(data), at + end)
+            ends.append(at)
+        return ends or [0]
+
+    r = random.Random(1)
+    for k in range(60):
+        n = r.randrange(0, 40_000)
+        data = (r.randbytes(n), bytes(r.choices(b"the quick brown fox ", k=n)), bytes([r.randrange(256)]) * n, b"".join(bytes([r.randrange(256)]) * r.randrange(1, 300) for _ in range(n // 100)))[k % 4]
+        for average in (64, 1024):
+            assert chunk_ends(data, average) == slow(data, average)

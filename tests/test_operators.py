@@ -225,3 +225,55 @@ def test_queries_match_sql(spark):
         df = QUERIES[name](spark, d)
         cur = con.execute(sql)
         assert rows(df.collect(), df.columns) == rows(cur.fetchall(), [c[0] for c in cur.description]), name
+
+
+def test_blocks_that_are_missing(spark):
+    from codeloom.streaming.blocks import batch_codes
+
+    rows = [("whole", 0, b"ab", False), ("whole", 1, b"c", True), ("whole", 1, b"c", True), ("no end", 0, b"ab", False), ("no middle", 0, b"ab", False), ("no middle", 2, b"c", True)]
+    got = {r.k: r.datahash for r in batch_codes(spark.createDataFrame(rows, "k string, seq int, block binary, last boolean"), "k").collect()}
+    assert len(got) == 3 and got["no end"] is None and got["no middle"] is None and got["whole"]
+
+
+def test_columns_that_helpers_might_use(spark):
+    from codeloom.operators.duplicates import known_content, mark_duplicates, unknown_content
+
+    df = spark.createDataFrame([(1, "a", "x", 5, 6), (2, "a", "y", 7, 8), (3, None, "z", 9, 0)], "i int, t string, digest string, first int, `a.b` int")
+    got = mark_duplicates(df, "i", "t")
+    assert got.columns == [*df.columns, "duplicate_of"] and sorted((r.i, r.digest, r.duplicate_of) for r in got.collect()) == [(1, "x", None), (2, "y", 1), (3, "z", None)]
+    assert unknown_content(df, df, "t", "t").columns == df.columns and known_content(df, df, "t", "t").count() == 2
+
+
+def test_bands_make_few_candidates():
+    from codeloom.operators.similarity import _ball, plan
+
+    for k, words in ((12, 4000), (12, 10**6), (6, 10**6), (3, 10**9)):
+        bands = plan(k, words)
+        assert sum(r + 1 for _, _, r in bands) > k and sum(w for _, w, _ in bands) == 64
+        assert sum(_ball(w, r) / 2.0**w for _, w, r in bands) < 0.01
+
+
+def test_similar_words_by_any_plan(spark):
+    import random
+
+    from codeloom.operators.similarity import similar_words
+
+    r, words = random.Random(2), []
+    for _ in range(150):
+        w = r.getrandbits(64) if r.random() < 0.5 or not words else r.choice(words)
+        for _ in range(r.randrange(0, 9)):
+            w ^= 1 << r.randrange(64)
+        words.append(w)
+    signed = sorted({w - (1 << 64) if w >> 63 else w for w in words})
+    df = spark.createDataFrame([(w,) for w in signed], "w long")
+    for k, bands in ((6, None), (6, [(0, 32, 3), (32, 32, 2)]), (3, None), (0, None)):
+        got = {(x.a, x.b): x.distance for x in similar_words(df, "w", k, bands=bands).collect()}
+        assert got == {(a, b): (a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) & (1 << 64) - 1).bit_count() for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= k}
+
+
+def test_flakes_of_makers_side_by_side():
+    from codeloom.functions.codes import Flake
+
+    makers = [Flake(part=p, parts=8) for p in range(8)]
+    made = [m.digest(1.0, 64) for m in makers for _ in range(9000)]
+    assert len(set(made)) == len(made) and max(int.from_bytes(d[:6], "big") for d in made) > 1000
