@@ -156,28 +156,6 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables that end where a group of rows (neighbours that agree in by) ends."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch[c].to_numpy(zero_copy_only=False) for c in by]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        starts_new = bool(held) and any(held[-1][c][-1].as_py() != batch[c][0].as_py() for c in by)
-        if starts_new:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        if len(change):
-            held.append(batch.slice(0, change[-1]))
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = [batch.slice(change[-1])]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
