@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import fresh
 from .storage import persisted
 
-#: Fixed values of the cut: multiplier, modulus; and where not given, lines hashed together and a chunk's lines on average.
-BASE, MODULUS, ROLL, AVERAGE = 31, 1_000_003, 3, 4
+#: Fixed values of the cut: multiplier, modulus; and where not given, lines hashed together, one line in how many ends a chunk, and a chunk's least number of lines.
+BASE, MODULUS, ROLL, AVERAGE, LEAST = 31, 1_000_003, 2, 2, 2
 
 
 def _let(value: Column, use) -> Column:
@@ -80,7 +80,7 @@ def _chunks(text: Column, average: int, roll: int, least: int) -> Column:
     return _let(_lines(text), of)
 
 
-def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "deduped", average: int = AVERAGE, roll: int = ROLL, least: int = 1) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", into: str = "deduped", average: int = AVERAGE, roll: int = ROLL, least: int = LEAST) -> DataFrame:
     """docs with a struct: n_lines, n_removed (lines), text (what is left, lines joined by line ends).
 
     Of equal chunks the one in the document of the least id stays (a null id is less than any; texts
@@ -91,8 +91,8 @@ def remove_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     A chunk ends where the hash of the last roll lines is a multiple of average, and has least lines
     (1 or 2) if the text has.  The first roll - 1 lines of a passage are cut by what stands before
-    it, and one-line chunks are never compared: average=2, roll=2, least=2 finds more than the cut
-    of the query, which its SQL fixes (figures: README).
+    it, and where least is 1 chunks of one line are never compared: a longer roll or average misses
+    more of the passages that repeat (figures: README).
     """
     if least not in (1, 2) or average < 1 or roll < 1:
         raise ValueError("least is 1 or 2; average and roll are 1 at least")
