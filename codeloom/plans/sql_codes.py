@@ -1,8 +1,8 @@
-"""DuckDB SQL for queries of codes: bases, headers, BLAKE3 of one block, xxHash32 of short inputs, MinHash."""
+"""DuckDB SQL for queries of codes: bases, headers, BLAKE3 of one block, xxHash32 of short inputs, MinHash, chunks."""
 
 from __future__ import annotations
 
-from ..functions.constants import BASE32, BASE58, MINHASH_A, MINHASH_B, MINHASH_PRIME
+from ..functions.constants import BASE32, BASE58, GEAR, MINHASH_A, MINHASH_B, MINHASH_PRIME
 
 _32 = 4294967296
 
@@ -69,20 +69,25 @@ def _left(x: str, k: int) -> str:
 
 
 def xxh32(table: str, gram: str) -> str:
-    """CTEs that end in one called features(gram, f): xxHash32, seed 0, of texts of less than 16 bytes."""
+    """CTEs that end in one called features(gram, f): xxHash32, seed 0, of texts of less than 32 bytes."""
     p1, p2, p3, p4, p5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
     byte = lambda i: f"CAST('0x' || substr(x, 2 * CAST({i} AS INT) + 1, 2) AS BIGINT)"
-    out = [f"x0 AS MATERIALIZED (SELECT {gram} AS gram, strlen({gram}) AS n, rpad(lower(hex(encode({gram}))), 32, '0') AS x, {p5} + strlen({gram}) AS h FROM {table})"]
+    word = lambda i: "(" + " + ".join(f"{byte(f'{i} + {b}')} * {256**b}" for b in range(4)) + ")"
+    lanes = [_times(_left(f"(({start} + {_times(word(4 * i), p2)}) % {_32})", 13), p1) for i, start in enumerate(((p1 + p2) % _32, p2, 0, _32 - p1))]
+    out = [
+        f"x_in AS MATERIALIZED (SELECT {gram} AS gram, strlen({gram}) AS n, CASE WHEN strlen({gram}) >= 16 THEN 16 ELSE 0 END AS o, rpad(lower(hex(encode({gram}))), 64, '0') AS x FROM {table})",
+        f"x_lanes AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS v{i}' for i, v in enumerate(lanes))} FROM x_in)",
+        f"x0 AS MATERIALIZED (SELECT gram, n, o, x, (CASE WHEN o = 16 THEN {' + '.join(_left(f'v{i}', k) for i, k in enumerate((1, 7, 12, 18)))} ELSE {p5} END + n) % {_32} AS h FROM x_lanes)",
+    ]
     at = 0
 
     def step(value: str) -> None:
         nonlocal at
         at += 1
-        out.append(f"x{at} AS MATERIALIZED (SELECT gram, n, x, {value} AS h FROM x{at - 1})")
+        out.append(f"x{at} AS MATERIALIZED (SELECT gram, n, o, x, {value} AS h FROM x{at - 1})")
 
     for w in range(3):
-        word = " + ".join(f"{byte(4 * w + b)} * {256**b}" for b in range(4))
-        step(f"CASE WHEN n >= {4 * w + 4} THEN {_times(_left('((h + ' + _times(word, p3) + f') % {_32})', 17), p4)} ELSE h END")
+        step(f"CASE WHEN n >= o + {4 * w + 4} THEN {_times(_left('((h + ' + _times(word(f'o + {4 * w}'), p3) + f') % {_32})', 17), p4)} ELSE h END")
     for b in range(3):
         step(f"CASE WHEN n % 4 > {b} THEN {_times(_left('((h + ' + _times(byte(f'(n // 4 * 4 + {b})'), p5) + f') % {_32})', 11), p1)} ELSE h END")
     step(_times("xor(h, h >> 15)", p2))
@@ -108,6 +113,30 @@ coded AS MATERIALIZED (SELECT p_partkey, p_brand, length(t) AS characters, max(u
 """
 _OF_MF = f"({0xCC012001}::HUGEINT * {_WIDE} + u::HUGEINT)"
 
+
+
+def _grams(width: int, *columns: str) -> str:
+    """All runs of width characters of each column of p, as (whole, width, gram); of a shorter one, itself."""
+    return " UNION ALL ".join(f"SELECT whole, {width} AS width, substr(whole, CAST(i AS INT), {width}) AS gram FROM (SELECT whole, unnest(range(1, greatest(length(whole) - {width - 1}, 1) + 1)) AS i FROM (SELECT DISTINCT {c} AS whole FROM p))" for c in columns)
+
+
+def _first_bits(bits: int) -> str:
+    """CTEs that end in sims(whole, width, u): the first bits of the SimHash of the BLAKE3 of all grams."""
+    part = lambda k: f"(CAST('0x' || substr(h, {8 * (k // 32) + 1}, 8) AS BIGINT) >> {31 - k % 32}) & 1"
+    return f"sims AS MATERIALIZED (SELECT whole, width, {' + '.join(f'CASE WHEN 2 * sum({part(k)}) >= count(*) THEN {1 << (bits - 1 - k)}::HUGEINT ELSE 0 END' for k in range(bits))} AS u FROM grams JOIN hashed ON id = gram GROUP BY whole, width)"
+
+
+def _least_bits(features: str) -> str:
+    """One 64-bit number for each gram of features: the lowest bits of its MinHash, as the first 64 bits of the digest of one feature."""
+    return f"SELECT gram, sum((((a * f + b) % {_WIDE}) % {MINHASH_PRIME} % 2) * (1::HUGEINT << (63 - i)::INT)) AS u FROM {features}, (VALUES {_PERMUTATIONS}) v(i, a, b) GROUP BY gram"
+
+
+_PLAIN = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+_BITS_APART = "CAST(bit_count(xor({0}::HUGEINT, {1}::HUGEINT)) AS INT)"
+
+#: Ends of chunks of 1,024 bytes on average: 256 to 8,192 bytes, a longer mask up to byte 640; a negative number is an end that was found.
+_CHUNK_END = "list_reduce(g[pos + 257:least(pos + 8192, len(g))], lambda h, x, i: CASE WHEN h < 0 THEN h WHEN ((h >> 1) + x) & (CASE WHEN i + 256 <= 640 THEN 2047 ELSE 511 END) = 0 THEN -(i + 256) ELSE (h >> 1) + x END, 0::BIGINT)"
+
 ORACLES = {
     "byte_cuts": r"""
 WITH c AS (SELECT doc_id, text, CASE WHEN text IS NOT NULL THEN len(list_filter(range(0, least(length(text), 61) + 1), lambda k: strlen(substr(text, 1, CAST(k AS INT))) <= 61)) - 1 END AS k FROM documents),
@@ -154,4 +183,35 @@ SELECT p_partkey, 'ISCC:' || {letters("('5005' || substr(m, 1, 16) || substr(t,
   'ISCC-TEXT-V0-MCDI' AS type_id, true AS again, true AS wide_units FROM s AS z
 """,
     "token_ids": "SELECT doc_id, 'f01551220' || sha256(coalesce(text, '')) AS cid, true AS same, unhex(sha256(coalesce(text, ''))) IS NOT NULL AS sound FROM documents WHERE strlen(coalesce(text, '')) <= 262144",
+    "data_chunks": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT page_id, list_transform(regexp_extract_all(lower(hex(encode(html))), '..'), lambda b: list_extract([{", ".join(f"{g}::BIGINT" for g in GEAR)}], CAST('0x' || b AS INT) + 1)) AS g FROM pages WHERE html IS NOT NULL),
+c AS (
+  SELECT page_id, -1 AS no, 0::BIGINT AS begins, 0::BIGINT AS pos FROM d
+  UNION ALL
+  SELECT page_id, no + 1, pos, CASE WHEN e < 0 THEN pos - e ELSE least(pos + 8192, n) END FROM (SELECT c.page_id, no, pos, len(g) AS n, {_CHUNK_END} AS e FROM c JOIN d USING (page_id) WHERE pos < len(g) OR no < 0)
+)
+SELECT page_id, CAST(no AS INT) AS no, CAST(begins AS INT) AS "offset", CAST(pos - begins AS INT) AS size FROM c WHERE no >= 0
+""",
+    "meta_codes": f"""
+WITH p AS MATERIALIZED (SELECT p_partkey, p_name, {_PLAIN.format("p_name")} AS t, '{{"p_brand":"' || p_brand || '","p_size":' || p_size || ',"p_retailprice":' || regexp_replace(p_retailprice::VARCHAR, '[.]0$', '') || '}}' AS payload FROM part),
+grams AS MATERIALIZED ({_grams(3, "t")} UNION ALL {_grams(4, "payload")}),
+x AS MATERIALIZED (SELECT DISTINCT gram AS x FROM grams UNION SELECT DISTINCT payload FROM p),
+{blake3("x", "x", "x")},
+{_first_bits(32)}
+SELECT p_partkey, 'ISCC:' || {base32(f"1::HUGEINT * {_WIDE} + n.u * {_32} + m.u", 16)} AS code, '1e20' || h AS metahash, p_name AS name, 'data:application/json;base64,' || to_base64(encode(payload)) AS meta
+FROM p JOIN sims n ON n.whole = t AND n.width = 3 JOIN sims m ON m.whole = payload AND m.width = 4 JOIN hashed ON id = payload
+""",
+    "compared_assets": f"""
+WITH p AS MATERIALIZED (SELECT p_partkey, {_PLAIN.format("p_name")} AS t, {_PLAIN.format("p_type")} AS y, p_name || ' ' || p_type AS data FROM part),
+grams AS MATERIALIZED ({_grams(3, "t")}),
+x AS MATERIALIZED (SELECT DISTINCT gram AS x FROM grams UNION SELECT DISTINCT data FROM p),
+{blake3("x", "x", "x")},
+{_first_bits(64)},
+s AS MATERIALIZED (SELECT DISTINCT y AS s FROM p UNION SELECT DISTINCT data FROM p),
+{xxh32("s", "s")},
+l AS MATERIALIZED ({_least_bits("features")}),
+u AS MATERIALIZED (SELECT p_partkey, sims.u AS m, c.u AS t, d.u AS x, substr(h, 1, 16) AS i FROM p JOIN sims ON whole = p.t JOIN l c ON c.gram = y JOIN l d ON d.gram = data JOIN hashed ON id = data)
+SELECT a.p_partkey AS pair, {_BITS_APART.format("a.m", "b.m")} AS meta_dist, NULL::INT AS semantic_dist, {_BITS_APART.format("a.t", "b.t")} AS content_dist, {_BITS_APART.format("a.x", "b.x")} AS data_dist, NULL::INT AS id_dist, NULL::INT AS flake_dist, a.i = b.i AS instance_match, NULL::BOOLEAN AS id_match
+FROM u a JOIN u b ON b.p_partkey = a.p_partkey + 1
+""",
 }
