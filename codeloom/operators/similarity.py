@@ -85,7 +85,11 @@ def similar_words(words: DataFrame, word: str, k: int, others: DataFrame | None
 
 
 def similar_rows(df: DataFrame, ident: str, word: str, k: int) -> DataFrame:
-    """For every row with near rows: id, copies (other rows of its word), near (rows of other words within k bits), nearest (least distance to those)."""
+    """For every row with near rows: id, copies (other rows of its word), near (rows of other words within k bits), nearest (least distance to those).
+
+    Ids and words are written to the shared folder first, as they are read four times.
+    """
+    df = persisted(df.select(ident, word), "words")
     counts = df.filter(F.col(word).isNotNull()).groupBy(F.col(word).alias("w")).agg(F.count("*").alias("rows"))
     pairs = similar_words(df, word, k)
     both = pairs.union(pairs.select("b", "a", "distance"))

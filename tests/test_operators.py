@@ -108,6 +108,9 @@ def test_folds(spark):
         by.setdefault(k, []).append(x)
     assert {g.k: bytes(g.digest) for g in folds.audio_digest_by(df, "k", "i", "x").collect()} == {k: codes.soft_hash_audio(v, 256) for k, v in by.items()}
     assert {g.k: bytes(g.digest) for g in folds.simhash_by(df, "k", ["x"]).collect()} == {k: sketches.simhash([(x & (1 << 64) - 1).to_bytes(8, "big") for x in v]) for k, v in by.items()}
+    odd = spark.createDataFrame([(1, 5, 7), (1, None, 3), (None, 5, 8), (2, -1, None), (3, -1, 0), (None, 4, 8)], "k int, x long, y int")
+    assert {g.k: bytes(g.digest).hex() for g in folds.simhash_by(odd, "k", ["x", "y"]).collect()} == {1: f"{5:016x}{7:016x}", None: f"{5:016x}{8:016x}", 3: "f" * 16 + "0" * 16}
+    assert folds.simhash_by(odd.limit(0), "k", ["x"]).count() == 0
     least = folds.minhash_by(df.withColumn("x", F.abs("x")), "k", "x")
     assert {g.k: bytes(g.d) for g in least.select("k", folds.pack_minhash("minhash").alias("d")).collect()} == {k: sketches.minhash_256([abs(x) for x in v]) for k, v in by.items()}
     frames = [(k, [r.randrange(100) for _ in range(380)]) for k in (1, 1, 2)]
