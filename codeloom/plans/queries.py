@@ -10,6 +10,7 @@ from ..functions.columns import Functions
 from ..functions.constants import FRAME_VALUES, Content, Main, Plain
 from ..operators import coded, duplicates, folds, similarity
 from ..sources.files import blocks
+from ..storage import persisted
 from ..streaming import events as ev
 from ..streaming.blocks import batch_codes
 
@@ -126,13 +127,9 @@ def similar_pairs(spark, d):
 
 def nearest_documents(spark, d):
     """For each SimHash the two nearest others within 12 bits."""
-    s = _simhashes(spark, d)
-    near = similarity.similar_words(s, "word", 12)
-    both = near.union(near.select("b", "a", "distance"))
-    from pyspark.sql import Window
-
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).filter("rank <= 2")
-    return ranked.select("a", "b", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
+    s = persisted(_simhashes(spark, d).select("word").distinct(), "words")
+    near = similarity.nearest_words(s, "word", s, "word", 12, 2, itself=False)
+    return near.select("a", "b", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def compared_assets(spark, d):
